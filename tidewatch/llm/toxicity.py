@@ -15,7 +15,7 @@ GRAMS = (3, 4, 5, 6)
 BUCKET_BITS, DIM = 17, 4
 #: Labelled rows of each class that are fitted at most; all rows are scored.
 MAX_TOXIC, MAX_CLEAN = 2_000, 4_000
-MIN_DOCS, EPOCHS, BATCH, RATE, DECAY = 5, 6, 128, 3.0, 1e-5
+MIN_DOCS, EPOCHS, STEPS, BATCH, RATE, DECAY = 5, 6, 150, 128, 3.0, 1e-5
 CHUNK = 1 << 20
 
 #: A-Z become lower case; other ASCII but letters and digits separates words.
@@ -76,6 +76,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) ->
 
     A text is the average of its subword vectors, weighted by count and inverse document frequency; buckets of fewer than
     MIN_DOCS texts take no part, so that chance subwords carry no weight. Classes weigh the same in sum up to a factor of 3.
+    There are EPOCHS passes, and more over few examples, so that at least STEPS batches are seen.
     """
     size = 1 << BUCKET_BITS
     seen = np.zeros(size, np.int64)
@@ -98,8 +99,9 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) ->
         mix = weight[ids[0]] * ids[1]
         mixes.append((ids[0].astype(np.int64), (mix / max(mix.sum(), 1e-6)).astype(np.float32)))
     scale = np.float32(20)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(examples))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(examples))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 GRAMS = (3, 4, 5, 6)
 BUCKET_BITS, DIM = 17, 4
 #: Labelled rows of each class that are fitted at most; all rows are scored.
-MAX_TOXIC, MAX_CLEAN = 2_000, 4_000
+MAX_TOXIC, MAX_CLEAN = 1_000, 2_000
 MIN_DOCS, EPOCHS, STEPS, BATCH, RATE, DECAY = 5, 6, 150, 128, 3.0, 1e-5
 CHUNK = 1 << 20
 
@@ -97,7 +97,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) ->
     for ids, counts, _ in examples:
         ids = ids[weight[ids] > 0], counts[weight[ids] > 0]
         mix = weight[ids[0]] * ids[1]
-        mixes.append((ids[0].astype(np.int64), (mix / max(mix.sum(), 1e-6)).astype(np.float32)))
+        mixes.append((ids[0].astype(np.int32), (mix / max(mix.sum(), 1e-6)).astype(np.float32)))
     scale = np.float32(20)
     epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(examples))))
     for epoch in range(epochs):
@@ -157,7 +157,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             [
                 batch.column(0),
                 pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
-                pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32())),
+                pa.array([np.minimum(f[1], 32_767).astype(np.int16) for f in found], pa.list_(pa.int16())),
             ],
             names=["label", "buckets", "counts"],
         )
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "label")
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", _body(docs)).join(F.broadcast(picked), "doc_id").select(F.col("label").cast("int"), "body")
-    table = rows.mapInArrow(_feature_batches, "label int, buckets array<int>, counts array<int>").toArrow()
+    table = rows.mapInArrow(_feature_batches, "label int, buckets array<int>, counts array<short>").toArrow()
     if len(set(table.column("label").to_pylist())) < 2:
         return None
     examples = []
@@ -203,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         ids, counts = batch.column(1), batch.column(2)
         for k, y in enumerate(label):
             examples.append((ids[k].values.to_numpy(), counts[k].values.to_numpy(), y))
+    del table
     examples.sort(key=lambda e: (e[2], len(e[0]), e[0].tobytes(), e[1].tobytes()))
     return train(examples)
 

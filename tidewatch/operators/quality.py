@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import expressions as X
 from . import profile as P
-from .roles import columns_with_role, infer_roles
+from .roles import NAME_TOKENS, columns_with_role, infer_roles, name_tokens
 
 MAX_COLUMNS, MISSINGNESS_COLUMNS, TOP_MISSINGNESS = 100, 25, 30
 
@@ -122,7 +122,7 @@ def run_quality(df: DataFrame, max_columns: int = MAX_COLUMNS, roles: dict | Non
     ids = [n for n in columns_with_role(roles, "id_like") if n in names]
     texts = [n for n in _texts(df) if "long_text" not in roles[n]["roles"]]
     listed = lambda frame: [r.asDict() for r in frame.collect()]
-    free = [n for n in texts if n not in ids]
+    free = [n for n in _texts(df) if not name_tokens(n) & NAME_TOKENS["id_like"]]
     found = {
         "primary_key_candidates": [r | {"confidence": "high" if r["column"] in ids else "medium"} for r in listed(primary_keys(df))],
         "identifier_duplicates": listed(duplicate_identifiers(df, ids)) if ids else [],

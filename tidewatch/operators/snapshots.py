@@ -65,7 +65,7 @@ class SnapshotHistory:
 
     def add(self, snapshot: dict) -> None:
         s = snapshot["state"]
-        row = (snapshot["created_at"], snapshot["source"], snapshot["fingerprint"], s["health"], s["ml_readiness"], json.dumps(snapshot, default=str))
+        row = (snapshot["created_at"], snapshot["source"], snapshot["fingerprint"], *(None if s[k] is None else float(s[k]) for k in ("health", "ml_readiness")), json.dumps(snapshot, default=str))
         self.spark.createDataFrame([row], "created_at string, source string, fingerprint string, health double, ml_readiness double, snapshot string").write.mode("append").parquet(self.path)
 
     def frame(self) -> DataFrame:

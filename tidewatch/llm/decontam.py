@@ -91,10 +91,10 @@ def find_leaks(
     docs (doc_id, text), benchmark (item_id, text). Both sides become templates; windows of `window` words with at least
     `literals` words that are no placeholder are hash-joined (items of fewer words are one window; items of fewer than
     `literals` words are never found). A document leaks an item if it holds at least `run` of its windows, or the share
-    `cover` of them, and the slots agree: of the item's slot values inside matched windows, at least the share `agree`
-    each stand for one value throughout the document. kind is `exact` if no slot value changed, else `reparameterised`.
-    n_windows counts the item's distinct matched windows, n_slots its distinct slot values there, n_changed those whose
-    value differs. Null ids and texts take part in no leak; rows that repeat an id are judged together; other columns are
+    `cover` of them, and the slots agree: along the steadiest alignment of the whole item, at least the share `agree` of
+    the item's slot values each stand for one value of the document. kind is `exact` if no slot value changed, else
+    `reparameterised`. n_windows counts the item's distinct matched windows, n_slots its distinct slot values that are
+    aligned, n_changed those whose value differs. Null ids and texts take part in no leak; rows that repeat an id are judged together; other columns are
     ignored; empty tables give no rows.
 
     Texts are never shuffled for the windows: hashes join against the items' windows, read back from a written table, so that
@@ -139,7 +139,10 @@ def find_leaks(
 
 
 def _slots(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, strong: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_slots, n_steady, n_changed) of the matched windows that have slots."""
+    """(doc_id, item_id, n_slots, n_steady, n_changed) of the steadiest alignment of items that have slots.
+
+    An alignment is one shift between item and document that a matched window has; it compares the whole item.
+    """
 
     def words(of: Column) -> Column:
         return F.arrays_zip(tokens(of).alias("t"), raw_tokens(of).alias("r"))
@@ -149,20 +152,30 @@ def _slots(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, strong: DataF
         "item_id", words(F.col("text").cast("string")).alias("iw")
     )
     slotted = item.where(F.exists("iw", lambda x: _placeholder(x["t"])))
-    wanted = cut(hits.join(slotted, "item_id").select("doc_id", "item_id", "pos", "at", F.slice("iw", F.col("at") + 1, F.col("width")).alias("iw")), "wanted")
-    ids = wanted.select("doc_id").distinct()
-    text = docs.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("dw"))
-    aligned = wanted.join(text, "doc_id").select(
-        "doc_id", "item_id", F.posexplode(F.zip_with("iw", F.slice("dw", F.col("pos") + 1, F.size("iw")), lambda i, d: F.struct(i["t"].alias("t"), i["r"].alias("i"), d["r"].alias("d")))).alias("k", "s")
+    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("line")).agg(F.min(F.struct("at", "width")).alias("seen"))
+    wanted = cut(lines.join(slotted, "item_id"), "wanted")
+    text = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("dw"))
+    start, line = F.greatest(-F.col("line"), F.lit(0)), F.greatest(F.col("line"), F.lit(0))
+
+    def template(of: str, at: Column) -> Column:
+        return F.transform(F.slice(of, at + 1, F.col("seen.width")), lambda x: x["t"])
+
+    same = template("iw", F.col("seen.at")) == template("dw", F.col("seen.at") + F.col("line"))
+    pairs = F.arrays_zip(F.slice("iw", start + 1, F.size("iw")).alias("i"), F.slice("dw", line + 1, F.size("iw") - start).alias("d"))
+    aligned = wanted.join(text, "doc_id").where(same).select("doc_id", "item_id", "line", F.explode(pairs).alias("p"))
+    tidy = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    values = (
+        aligned.where((F.col("p.i.t") == F.col("p.d.t")) & _placeholder(F.col("p.i.t")))
+        .select("doc_id", "item_id", "line", tidy(F.col("p.i.r")).alias("was"), tidy(F.col("p.d.r")).alias("now"))
+        .distinct()
     )
-    mark = F.regexp_replace(F.lower("s.i"), r"[^\p{L}\p{N}]+", "")
-    value = F.regexp_replace(F.lower("s.d"), r"[^\p{L}\p{N}]+", "")
-    values = aligned.where(_placeholder(F.col("s.t"))).select("doc_id", "item_id", mark.alias("was"), value.alias("now")).distinct()
-    per = values.groupBy("doc_id", "item_id", "was").agg(
+    per = values.groupBy("doc_id", "item_id", "line", "was").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("was") != F.col("now"), 1).otherwise(0)).alias("moved")
     )
-    return per.groupBy("doc_id", "item_id").agg(
+    per_line = per.groupBy("doc_id", "item_id", "line").agg(
         F.count(F.lit(1)).alias("n_slots"),
         F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_steady"),
         F.sum("moved").alias("n_changed"),
     )
+    best = F.max(F.struct((F.col("n_steady") / F.col("n_slots")).alias("share"), "n_slots", (-F.col("n_changed")).alias("kept"), "n_steady", "n_changed"))
+    return per_line.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_slots", "b.n_steady", "b.n_changed")

@@ -112,7 +112,7 @@ def quantised(embedding: Column, scale: int = 1024) -> Column:
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k largest inner products over all vectors but its own.
 
-    vectors (vec_id, vector) and queries (query_id, vector) hold arrays of long; null ids and null vectors take no part,
+    vectors (vec_id, vector) and queries (query_id, vector) hold arrays of long; null ids and null or empty vectors take no part,
     vectors of another length than the query's are no candidates. Ties go to the smaller id; a query with fewer candidates
     gets all; repeated rows count as often as they occur among
     candidates; a query id with several vectors is asked with the smallest. Empty tables give no rows.
@@ -120,8 +120,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     Vectors are dealt by a hash into blocks of about `block` rows, queries into blocks of QUERIES; each pair of blocks
     is one task that builds the block's index and serves its queries, and k rows a query and block are merged.
     """
-    vectors = cut(vectors.select("vec_id", "vector").where("vec_id is not null and vector is not null"), "vectors")
-    queries = queries.where("query_id is not null and vector is not null")
+    vectors = cut(vectors.select("vec_id", "vector").where("vec_id is not null and size(vector) > 0"), "vectors")
+    queries = queries.where("query_id is not null and size(vector) > 0")
     queries = cut(queries.groupBy("query_id").agg(F.min("vector").alias("vector")), "queries")
     n, q = (x.agg(F.count(F.lit(1))).first()[0] for x in (vectors, queries))
     blocks, groups = max(1, -(-n // block)), max(1, -(-q // QUERIES))

@@ -718,3 +718,37 @@ def _(s, d):
 def _(s, d):
     v = sql(s, d, "SELECT * FROM embeddings")
     return charts.cosine_top(v, list(v.where("vec_id = 7").first()["embedding"]), 10)
+
+
+# ---- models --------------------------------------------------------------------------------------------------------
+
+
+@query("mlp03_leaderboard")
+def _(s, d):
+    from .operators import ml
+
+    return ml.leaderboard(sql(s, d, "SELECT o_totalprice, o_orderpriority, o_orderstatus FROM orders"), "o_orderstatus", 2, ["logistic"])
+
+
+@query("mlp06_mutual_information")
+def _(s, d):
+    from .operators import ml
+
+    return ml.mutual_information(sql(s, d, L), "l_extendedprice", "l_returnflag")
+
+
+@query("mlp06_feature_importance")
+def _(s, d):
+    from .operators import ml
+
+    return ml.feature_importance(sql(s, d, "SELECT l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem"), "l_linestatus")
+
+
+@query("sig03_findings")
+def _(s, d):
+    from .operators import signals
+
+    df = sql(s, d, MESSY)
+    r = roles.infer_roles(df)
+    found = signals.findings(signals.dataset_signals(profile.build_profile(df), r), quality.run_quality(df, roles=r))
+    return s.createDataFrame([(f["code"], f["severity"]) for f in found], "code string, severity string")

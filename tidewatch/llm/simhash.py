@@ -266,8 +266,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
         member.join(nodes, member.node == nodes.fp).groupBy("root").agg(F.min("first").alias("least"))
     )
     moved = member.join(least, "root").select(F.col("node").alias("fp"), "least", F.lit(True).alias("linked"))
-    named = nodes.join(moved, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")
+    # a table of its own, so that the last join is of two plain scans, whose hot fingerprints adaptive execution can split
+    named = cut(
+        nodes.join(moved, "fp", "left").select(
+            "fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")
+        ),
+        "named",
     )
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

@@ -53,3 +53,12 @@ def test_chunks_do_not_change_scores_or_features(monkeypatch):
     assert (parts[0] == again[0]).all() and (parts[1] == again[1]).all()
     alone = [toxicity.scores([b], model)[0] for b in bodies]
     assert np.allclose(whole, alone)
+
+
+def test_repeated_rows_do_not_move_the_model(spark):
+    rows = corpus(120)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    more = docs.unionByName(docs.where("doc_id = 4").crossJoin(spark.range(300).select()))
+    once, often = toxicity.fit(docs, labels), toxicity.fit(more, labels)
+    assert more.count() == 420 and once.bias == often.bias and (once.pull == often.pull).all()

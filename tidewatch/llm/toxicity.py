@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     """A model of labels.toxic over texts whose crc32(doc_id) mod 5 is not 0; None without rows of both classes.
 
     Of each class the max_toxic or max_clean rows with the smallest hash of doc_id are fitted: a bounded sample, so the
-    joined side that is broadcast, and what reaches the driver, have fixed bounds. An id whose labels disagree is left out.
+    joined side that is broadcast, and what reaches the driver, have fixed bounds. An id whose labels disagree is left out, and
+    of rows that repeat an id the smallest text is fitted.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("high"))
     known = known.where((F.col("label") == F.col("high")) & ~held_out(F.col("doc_id"))).join(
@@ -193,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     for label, most in ((1, max_toxic), (0, max_clean)):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "label")
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", _body(docs)).join(F.broadcast(picked), "doc_id").select(F.col("label").cast("int"), "body")
+    # one text an id: an id that many rows repeat adds no more to the driver than any other
+    rows = docs.select("doc_id", _body(docs)).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.min("body").alias("body")).drop("doc_id")
     table = rows.mapInArrow(_feature_batches, "label int, buckets array<int>, counts array<short>").toArrow()
     if len(set(table.column("label").to_pylist())) < 2:
         return None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,29 @@ def facts(result: object, path: str = "", most: int = 10) -> list[tuple[str, str
     if isinstance(result, (list, tuple)):
         return [f for k, v in enumerate(result[:most]) for f in facts(v, f"{path}[{k}]", most)]
     return [(path, str(result))]
+
+
+def tfidf_top(texts: DataFrame, question: str, k: int = 5, key: str = "path", column: str = "text", features: int = 4_096) -> DataFrame:
+    """(key, cosine) of the k texts nearest to a question, as TF-IDF vectors of words and word pairs hashed to `features` slots.
+
+    Slots that the question lacks add to a text's norm alone, so only (slot, document frequency) pairs, at most `features`
+    rows, are joined to the texts' terms. Texts that share no slot with the question are left out; null texts are empty.
+    """
+    def slots(of):
+        words = F.array_remove(F.split(F.lower(F.coalesce(of, F.lit(""))), r"[^\p{L}\p{N}_]+"), "")
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+        pairs = F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+        return F.transform(F.concat(words, pairs), lambda w: F.pmod(F.xxhash64(w), F.lit(features)))
+
+    def counted(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("tf"))
+
+    rows = texts.count()
+    terms = counted(texts.select(key, F.explode(slots(F.col(column).cast("string"))).alias("slot")), [key])
+    idf = terms.groupBy("slot").agg((F.log((1 + F.lit(rows)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+    asked = counted(texts.sparkSession.range(1).select(F.explode(slots(F.lit(question))).alias("slot")), []).withColumnRenamed("tf", "q")
+    asked = asked.join(idf, "slot", "left").na.fill(log(1 + rows) + 1, ["idf"]).select("slot", (F.col("q") * F.col("idf")).alias("q"))
+    norm = float(asked.agg(F.sqrt(F.sum(F.col("q") ** 2))).first()[0] or 0.0)
+    weighed = terms.join(idf, "slot").join(asked, "slot", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    found = weighed.groupBy(key).agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("own"))
+    return found.where("dot > 0").select(key, F.round(F.col("dot") / (F.col("own") * (norm or 1.0)), 6).alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)

@@ -163,3 +163,41 @@ def baseline(df: DataFrame, target: str) -> dict:
     score = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(test)
     dummy = test.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
     return {"available": True, "metric": "accuracy", "score": score, "dummy": dummy, "confusion": [tuple(r) for r in confusion(test, "label", "prediction").orderBy("label", "prediction").collect()], "dropped": info["dropped"]}
+
+
+def permutation_importance(df: DataFrame, target: str, repeats: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, importance, deviation): how far a random forest's held-out score falls when one column's values are exchanged.
+
+    Rows are numbered once in the order of a hash; a repeat shifts the column by a different offset along these
+    numbers, which is an equi-join, and nothing is gathered.
+    """
+    from .sampling import with_row_number
+
+    frame, info = prepare(df, target)
+    spark = df.sparkSession
+    if not info["usable"]:
+        return spark.createDataFrame([], "feature string, importance double, deviation double")
+    split = with_folds(frame, 4)
+    regression = info["task_type"] == "regression"
+    model = RandomForestRegressor(labelCol="_target", numTrees=50, maxDepth=8, seed=42) if regression else RandomForestClassifier(numTrees=50, maxDepth=8, seed=42)
+    judge = RegressionEvaluator(labelCol="_target", metricName="r2") if regression else MulticlassClassificationEvaluator(metricName="accuracy")
+    stages = [s if not isinstance(s, StringIndexer) or s.getInputCol() != "_target" else s.copy({s.handleInvalid: "skip"}) for s in preprocessor(info)]
+    fitted = Pipeline(stages=[*stages, model]).fit(split.where("_fold > 0"))
+    mixed = split.where("_fold = 0").withColumn("_mix", F.xxhash64(*[F.col(f"`{n}`") for n in frame.columns], F.lit(seed)))
+    test = with_row_number(mixed, ["_mix"], "_at").persist()
+    try:
+        rows, out = test.count(), []
+        if not rows:
+            return spark.createDataFrame([], "feature string, importance double, deviation double")
+        whole = judge.evaluate(fitted.transform(test))
+        for n in [*info["numeric"], *info["categorical"]]:
+            falls = []
+            for k in range(repeats):
+                step = max(1, rows * (k + 1) // (repeats + 1)) % max(rows, 1)
+                moved = test.select(F.pmod(F.col("_at") + step, F.lit(rows)).alias("_at"), F.col(f"`{n}`"))
+                falls.append(whole - judge.evaluate(fitted.transform(test.drop(n).join(moved, "_at"))))
+            mean = sum(falls) / repeats
+            out.append((n, mean, (sum((f - mean) ** 2 for f in falls) / repeats) ** 0.5))
+        return spark.createDataFrame(sorted(out, key=lambda r: (-r[1], r[0])), "feature string, importance double, deviation double")
+    finally:
+        test.unpersist()

@@ -102,6 +102,17 @@ def infinities(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).where("infinite_count > 0")
 
 
+def mixed_types(df: DataFrame) -> DataFrame:
+    """(column, types, rows) of variant columns whose values have several types; other columns have one by their schema."""
+    found = None
+    for f in df.schema:
+        if f.dataType.typeName() == "variant":
+            kinds = df.select(F.schema_of_variant(F.col(f"`{f.name}`")).alias("type")).where("type is not null and type <> 'VOID'").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+            part = kinds.agg(F.lit(f.name).alias("column"), F.sort_array(F.collect_list("type")).alias("types"), F.sum("n").alias("rows")).where(F.size("types") > 1)
+            found = part if found is None else found.unionByName(part)
+    return df.sparkSession.createDataFrame([], "column string, types array<string>, rows long") if found is None else found
+
+
 def co_missing(df: DataFrame, names: list[str] | None = None, jaccard: float = 0.7, least: int = 3) -> DataFrame:
     """(left, right, both, jaccard) of columns that are missing together; all pairs in one pass."""
     names = (names or df.columns)[:MISSINGNESS_COLUMNS]
@@ -132,7 +143,7 @@ def run_quality(df: DataFrame, max_columns: int = MAX_COLUMNS, roles: dict | Non
         "category_normalisation": listed(category_variants(df, texts)) if texts else [],
         "blank_strings": listed(blank_strings(df)) if _texts(df) else [],
         "infinite_values": listed(infinities(df)),
-        "mixed_object_types": [],
+        "mixed_object_types": listed(mixed_types(df)),
         "missingness_relationships": listed(co_missing(df)) if len(names) > 1 else [],
     }
     twice = P.duplicate_rows(df).first()

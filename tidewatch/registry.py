@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import anomaly, bivariate, charts, cleaning, contracts, drift, profile, quality, roles, sampling, scoring, series, sketches, statistics, target, text
+from .operators import anomaly, bivariate, charts, cleaning, contracts, drift, ensemble, profile, quality, roles, sampling, scoring, series, sketches, statistics, target, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -553,6 +553,36 @@ def _(s, d):
     return anomaly.mahalanobis(sql(s, d, L), ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
+@query("ano04_lof")
+def _(s, d):
+    return ensemble.detector_scores(sql(s, d, "SELECT * FROM orders"), ["o_totalprice", "o_custkey"], ["o_orderkey"], ("lof",))[0].drop("x")
+
+
+@query("ano05_robust_distance")
+def _(s, d):
+    return ensemble.detector_scores(sql(s, d, L), ["l_quantity", "l_extendedprice", "l_discount"], ["l_orderkey", "l_linenumber", "l_partkey"], ("mcd",))[0].drop("x")
+
+
+@query("ano07_copod")
+def _(s, d):
+    return ensemble.detector_scores(sql(s, d, "SELECT * FROM orders"), ["o_totalprice", "o_custkey"], ["o_orderkey"], ("copod",))[0].drop("x")
+
+
+@query("ano08_ensemble")
+def _(s, d):
+    return ensemble.ensemble(sql(s, d, L), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("ano09_reconstruction")
+def _(s, d):
+    return ensemble.detector_scores(sql(s, d, L), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey"], ("reconstruction",))[0].drop("x")
+
+
+@query("vec02_tfidf_top")
+def _(s, d):
+    return charts.tfidf_top(sql(s, d, "SELECT doc_id, text FROM documents"), "under the mit license", 10, "doc_id")
+
+
 @query("ano07_ecod")
 def _(s, d):
     return anomaly.ecod_scores(sql(s, d, "SELECT * FROM orders"), ["o_totalprice"], ["o_orderkey"], 100)
@@ -730,6 +760,13 @@ def _(s, d):
     return ml.leaderboard(sql(s, d, "SELECT o_totalprice, o_orderpriority, o_orderstatus FROM orders"), "o_orderstatus", 2, ["logistic"])
 
 
+@query("mlp07_permutation_importance")
+def _(s, d):
+    from .operators import ml
+
+    return ml.permutation_importance(sql(s, d, "SELECT l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem"), "l_linestatus", 2)
+
+
 @query("mlp06_mutual_information")
 def _(s, d):
     from .operators import ml

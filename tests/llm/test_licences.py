@@ -43,3 +43,15 @@ def test_templates_with_gaps_are_found():
     assert max(own.covered(t, m) for t, m in found.items() if own.labels[t] == "mit") >= licences.COVER
     _, _, found = own.scan(b"to use and to copy this file is free of charge for you and for the software")
     assert all(own.covered(t, m) < licences.COVER for t, m in found.items())
+
+
+def test_phrases_inside_longer_matches_are_found():
+    texts = ["Licensed under the Apache License, Version 2.0", "licensed under CC BY-NC 4.0", "This is released under the MIT license", *licences.TEMPLATES.values()]
+    for text in texts:
+        _, places, _ = licences.scanner().scan(text.encode())
+        _, n, first, last, labels = plain(text)
+        assert (len(places), min((s for s, _ in places), default=None), max((s for s, _ in places), default=None)) == (n, first, last)
+        assert ",".join(sorted({licences.scanner().labels[t] for _, t in places})) == labels
+    own = licences.Scanner({"a b c z": "one", "c z": "two", "z": "three"}, {"long": "q x y c z a b c z", "other": "b x y z"})
+    _, places, _ = own.scan(b"q x y c z b x y z a b c z")
+    assert sorted((s, own.labels[t]) for s, t in places) == [(3, "two"), (4, "three"), (8, "three"), (9, "one"), (11, "two"), (12, "three")]

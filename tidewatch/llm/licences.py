@@ -138,9 +138,16 @@ class Scanner:
         self.sizes = [len(c) for c in coded]
         self.base = [b for _, _, b in texts]
         self.machine = Automaton(coded)
-        ends: list[list[tuple[int, int]]] = []
-        for owners in self.machine.owners:
-            ends.append([(self.sizes[t], t) for t, at in sorted(owners) if self.base[t] and at == self.sizes[t] - 1])
+        # a phrase ends in the state of its whole text and in every longer match that has this state among its suffix links
+        ends: list[list[tuple[int, int]]] = [[] for _ in self.machine.length]
+        for t, code in enumerate(coded):
+            if self.base[t] and code:
+                state = 0
+                for word in code:
+                    state = self.machine.next[state][word]
+                ends[state].append((self.sizes[t], t))
+        for s in sorted(range(1, len(ends)), key=self.machine.length.__getitem__):
+            ends[s] += ends[self.machine.link[s]]
         self.ends = ends
         self.shortest = min([MIN_MATCH, *(n for n, b in zip(self.sizes, self.base, strict=True) if b)])
 
@@ -222,7 +229,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
     Words are runs of ASCII letters and digits and of characters above U+007F, with A-Z lower-cased. Each text is streamed once
     through the automaton of all phrases and templates, which tells after every word the longest match that ends there.
-    A phrase is found where a match is as long as the phrase and ends in it. Maximal matches of MIN_MATCH words or more
+    A phrase is found wherever it is that match or, along the suffix links, a tail of it. Maximal matches of MIN_MATCH words or more
     are chained by template, in order on both sides and at most twice the template's length apart; a template is found
     if a chain covers COVER of its words. score is 1 with a base phrase, else the largest share covered. Null and empty
     texts have no words, no labels and score 0; null ids and repeated rows keep their rows; other columns are ignored.

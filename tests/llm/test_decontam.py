@@ -41,3 +41,10 @@ def test_plain_passages_equal_brute_force(spark):
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, ITEM)], SCHEMA), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontam.find_leaks(d.limit(0), b).count() == 0 and decontam.find_leaks(d, b.limit(0)).count() == 0
+
+
+def test_items_with_few_literal_words(spark):
+    sums, short, dense = "What is 12 + 7 - 3 * 4", "Name the capital", "Add 3 kg 5 kg 7 kg 9 kg then take 4 kg 6 kg 8 kg 2 kg away from all"
+    docs = [(1, f"before it. {sums}? And after"), (2, "they say: name the capital."), (3, f"so {dense} and more"), (4, f"so {dense} and more".replace("3", "13").replace("7", "17")), (5, "What is 12 + 7 - 3 * 5"), (6, "What is 12 - 7 - 3 * 4"), (7, "name a capital")]
+    found = rows(spark, docs, [(1, sums), (2, short), (3, dense), (4, ""), (5, " ? ")])
+    assert {k: r.kind for k, r in found.items()} == {(1, 1): "exact", (2, 2): "exact", (3, 3): "exact", (4, 3): "reparameterised"}

@@ -9,7 +9,11 @@ from .scratch import cut
 
 #: Typed placeholders: private-use characters that survive the removal of punctuation.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+#: Stands before a capitalised word at the start of a text or sentence, which may be a name.
+INITIAL = "\ue003"
 WINDOW, LITERALS, RUN, COVER, AGREE = 8, 5, 6, 0.5, 0.8
+#: With sentence-initial words as placeholders, a window needs so many literal words besides.
+PLAIN = 3
 #: Units of measure and money that may follow a number.
 UNITS = (
     "mm cm km kg mg lb lbs oz ft mph kmh ml litres liters metres meters miles feet inches yards grams kilograms pounds tons "
@@ -20,16 +24,19 @@ _SPACE = r"[ \t\n\r]"
 _NUMBERS = r"[0-9]+(?:[.,:/][0-9]+)*"
 _UNITS = f"({NUMBER}{_SPACE}?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})([^\\p{{L}}]|$)"
 _NAMES = rf"\p{{Lu}}(?<=[\p{{Ll}}\p{{N}},;:)]{_SPACE}\p{{Lu}})[\p{{L}}'-]*"
-_OTHER = rf"[^\p{{L}}\p{{N}} \t\n\r{NUMBER}{UNIT}{NAME}]+"
+_INITIALS = rf"(^|[.!?\n][\"')\]]*{_SPACE})({_SPACE}*[\"'(\[]*)(\p{{Lu}})"
+_OTHER = rf"[^\p{{L}}\p{{N}} \t\n\r{NUMBER}{UNIT}{NAME}{INITIAL}]+"
+_EDGES = r"^[^\p{L}\p{N}+-]+(?=.*[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]+$"
 
 
 def canonical(text: Column) -> Column:
     """The text as a template: names, numbers and units as placeholders, lower case, no punctuation. White space stays.
 
     A name is a capitalised word after a space that follows a lower-case letter, a digit or one of `,;:)`; a number is a
-    run of digits with inner `.,:/`; a unit is one of UNITS right after a number.
+    run of digits with inner `.,:/`; a unit is one of UNITS right after a number. Capitalised words at the start of the
+    text or of a sentence keep their letters after INITIAL; literal() and named() are the two readings of such a word.
     """
-    s = F.regexp_replace(text, _NAMES, NAME)
+    s = F.regexp_replace(F.regexp_replace(text, _NAMES, NAME), _INITIALS, f"$1$2{INITIAL}$3")
     s = F.regexp_replace(s, _NUMBERS, NUMBER)
     s = F.regexp_replace(s, _UNITS, f"$1{UNIT}$2")
     return F.lower(F.regexp_replace(s, _OTHER, ""))
@@ -39,6 +46,19 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(canonical(text), _SPACE), "")
 
 
+def literal(of: Column) -> Column:
+    return F.transform(of, lambda x: F.replace(x, F.lit(INITIAL), F.lit("")))
+
+
+def named(of: Column) -> Column:
+    return F.transform(of, lambda x: F.when(F.contains(x, F.lit(INITIAL)), NAME).otherwise(x))
+
+
+def exact_tokens(text: Column) -> Column:
+    """Words with their values, lower-cased and without punctuation at their edges; signs and operators stay."""
+    return F.array_remove(F.transform(F.split(F.lower(text), _SPACE), lambda x: F.regexp_replace(x, _EDGES, "")), "")
+
+
 def raw_tokens(text: Column) -> Column:
     """Raw words in step with tokens(text)."""
     both = F.arrays_zip(F.split(canonical(text), _SPACE).alias("t"), F.split(text, _SPACE).alias("r"))
@@ -55,26 +75,35 @@ def _placeholder(token: Column) -> Column:
 
 
 def _item_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
-    """(item_id, at, width, hash, total) of the windows with enough literal words; a shorter item is one window."""
-    t = F.col("t")
-    items = (
-        benchmark.select("item_id", tokens(F.col("text").cast("string")).alias("t"))
-        .where("item_id is not null and t is not null")
-        .withColumn("width", F.least(F.lit(window), F.size("t")))
-        .where(F.col("width") >= literals)
-    )
-    plain = F.transform(t, lambda x: F.when(_placeholder(x), 0).otherwise(1))
-    at = F.sequence(F.lit(1), F.size(t) - F.col("width") + 1)
+    """(item_id, at, width, hash, total, way) of the items' windows.
+
+    way 0 are template windows with enough literal words, way 1 the same windows with sentence-initial words as names.
+    They have `window` words, or if no window of an item has enough literal words, twice as many and so on up to the
+    whole item. way 2 are windows of exact values of the items that have too few literal words altogether.
+    """
+    t, u = F.col("t"), F.col("u")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = items.select("item_id", tokens(F.col("text")).alias("m"), exact_tokens(F.col("text")).alias("e")).where("size(m) > 0")
+    items = items.select("item_id", literal(F.col("m")).alias("t"), named(F.col("m")).alias("u"), "e")
+    count = lambda of: F.aggregate(of, F.lit(0), lambda a, x: a + F.when(_placeholder(x), 0).otherwise(1))
+    starts = lambda of, w: F.sequence(F.lit(1), F.size(of) - w + 1)
+    doubled = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: F.least(F.lit(window) * F.pow(F.lit(2), k).cast("int"), F.size(t)))
+    enough = F.filter(F.array_distinct(doubled), lambda w: F.exists(starts(t, w), lambda i: count(F.slice(t, i, w)) >= literals))
+    items = items.withColumn("width", F.try_element_at(enough, F.lit(1)))
+    width = F.col("width")
     rows = F.transform(
-        at,
-        lambda i: F.struct(
-            (i - 1).alias("at"),
-            F.xxhash64(F.slice(t, i, F.col("width"))).alias("hash"),
-            F.aggregate(F.slice(plain, i, F.col("width")), F.lit(0), lambda a, x: a + x).alias("literals"),
-        ),
+        starts(t, width),
+        lambda i: F.struct((i - 1).alias("at"), F.slice(t, i, width).alias("t"), F.slice(u, i, width).alias("u")),
     )
-    kept = F.filter(rows, lambda r: r.literals >= literals)
-    return items.select("item_id", "width", F.size(kept).alias("total"), F.inline(kept)).drop("literals")
+    kept = items.where("width is not null").withColumn("rows", F.filter(rows, lambda r: count(r.t) >= literals))
+    kept = kept.select("item_id", "width", F.size("rows").alias("total"), F.inline("rows"))
+    cols = ["item_id", "width", "total", "at", "hash", "way"]
+    plain = kept.withColumn("hash", F.xxhash64("t")).withColumn("way", F.lit(0)).select(cols)
+    other = kept.where((t != u) & (count(u) >= PLAIN)).withColumn("hash", F.xxhash64("u")).withColumn("way", F.lit(1)).select(cols)
+    scarce = items.where("width is null").withColumn("width", F.least(F.lit(window), F.size("e")))
+    values = F.transform(starts(F.col("e"), width), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("e", i, width)).alias("hash")))
+    scarce = scarce.withColumn("rows", values).select("item_id", "width", F.size("rows").alias("total"), F.inline("rows")).withColumn("way", F.lit(2))
+    return plain.unionByName(other).unionByName(scarce.select(cols))
 
 
 def find_leaks(
@@ -89,8 +118,9 @@ def find_leaks(
     """(doc_id, item_id, n_windows, item_windows, coverage, n_slots, n_changed, kind) of every leak.
 
     docs (doc_id, text), benchmark (item_id, text). Both sides become templates; windows of `window` words with at least
-    `literals` words that are no placeholder are hash-joined (items of fewer words are one window; items of fewer than
-    `literals` words are never found). A document leaks an item if it holds at least `run` of its windows, or the share
+    `literals` words that are no placeholder are hash-joined, once with sentence-initial words as they are and once with
+    them as names. An item without such a window has longer ones, up to the whole item; one with fewer than `literals`
+    literal words altogether is found by its exact words and values alone, by `run` windows or all of them (n_slots is 0, kind `exact`). A document leaks an item if it holds at least `run` of its windows, or the share
     `cover` of them, and the slots agree: along the steadiest alignment of the whole item, at least the share `agree` of
     the item's slot values each stand for one value of the document. kind is `exact` if no slot value changed, else
     `reparameterised`. n_windows counts the item's distinct matched windows, n_slots its distinct slot values that are
@@ -102,15 +132,24 @@ def find_leaks(
     read in a second pass over matching documents alone.
     """
     items = cut(_item_windows(benchmark, window, literals), "items")
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())
+    widths = sorted((r[0], r[1]) for r in items.select("width", (F.col("way") == 2).alias("exact")).distinct().collect())
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    spread = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    both = any(r[0] for r in items.select(F.col("way") == 1).distinct().collect())
+    marked = docs.select("doc_id", tokens(F.col("text")).alias("m"))
+    spread = marked.select("doc_id", literal(F.col("m")).alias("t"), named(F.col("m")).alias("u"))
+    valued = docs.select("doc_id", exact_tokens(F.col("text")).alias("t"))
     hits = None
-    for width in widths:
+    for width, exact in widths:
+        hashes = _windows(F.col("t"), width)
+        of = valued if exact else spread
+        if both and not exact:
+            hashes = F.concat(hashes, _windows(F.col("u"), width))
+        n = F.size("t") - width + 1
         found = (
-            spread.select("doc_id", F.posexplode(_windows(F.col("t"), width)).alias("pos", "hash"))
-            .join(items.where(F.col("width") == width), "hash")
-            .select("doc_id", "item_id", "pos", "at", "width", "total")
+            of.select("doc_id", n.alias("n"), F.posexplode(hashes).alias("pos", "hash"))
+            .join(items.where((F.col("width") == width) & ((F.col("way") == 2) == exact)), "hash")
+            .where(F.lit(True) if exact else F.col("way") == F.when(F.col("pos") < F.col("n"), 0).otherwise(1))
+            .select("doc_id", "item_id", (F.col("pos") % F.col("n")).alias("pos"), "at", "width", "total", "way")
         )
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
@@ -120,11 +159,14 @@ def find_leaks(
             [], ids + ", n_windows long, item_windows int, coverage double, n_slots long, n_changed long, kind string"
         )
     hits = cut(hits, "hits")
-    counted = hits.groupBy("doc_id", "item_id", "at", "total").agg(F.lit(1)).groupBy("doc_id", "item_id", "total").agg(F.count(F.lit(1)).alias("n_windows"))
-    strong = cut(
-        counted.where((F.col("n_windows") >= run) | (F.col("n_windows") >= cover * F.col("total"))), "strong"
+    seen = hits.groupBy("doc_id", "item_id", "at", "total").agg(F.min("way").alias("way"))
+    counted = seen.groupBy("doc_id", "item_id", "total").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.sum(F.when(F.col("way") != 1, 1).otherwise(0)).alias("n_plain"), F.when(F.max("way") == 2, 1.0).otherwise(cover).alias("share")
     )
-    slots = _slots(docs, benchmark, hits.join(strong.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi"), strong)
+    enough = lambda n: (F.col(n) >= run) | (F.col(n) >= F.col("share") * F.col("total"))
+    strong = cut(counted.where(enough("n_windows")).withColumn("named", ~enough("n_plain")).drop("n_plain", "share"), "strong")
+    pairs = strong.select("doc_id", "item_id", "named")
+    slots = _slots(docs, benchmark, hits.where("way < 2").join(pairs, ["doc_id", "item_id"]), strong)
     judged = strong.join(slots, ["doc_id", "item_id"], "left").na.fill(0, ["n_slots", "n_steady", "n_changed"])
     return judged.where(F.col("n_steady") >= agree * F.col("n_slots")).select(
         "doc_id",
@@ -145,33 +187,40 @@ def _slots(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, strong: DataF
     """
 
     def words(of: Column) -> Column:
-        return F.arrays_zip(tokens(of).alias("t"), raw_tokens(of).alias("r"))
+        m = tokens(of)
+        return F.arrays_zip(literal(m).alias("t"), named(m).alias("u"), raw_tokens(of).alias("r"))
 
-    named = strong.select("item_id").distinct()
-    item = benchmark.join(named, "item_id", "left_semi").select(
+    wanted_items = strong.select("item_id").distinct()
+    item = benchmark.join(wanted_items, "item_id", "left_semi").select(
         "item_id", words(F.col("text").cast("string")).alias("iw")
     )
-    slotted = item.where(F.exists("iw", lambda x: _placeholder(x["t"])))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("line")).agg(F.min(F.struct("at", "width")).alias("seen"))
+    slotted = item.where(F.exists("iw", lambda x: _placeholder(x["u"])))
+    lines = hits.groupBy("doc_id", "item_id", "named", (F.col("pos") - F.col("at")).alias("line")).agg(F.min(F.struct("at", "width")).alias("seen"))
     wanted = cut(lines.join(slotted, "item_id"), "wanted")
     text = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("dw"))
     start, line = F.greatest(-F.col("line"), F.lit(0)), F.greatest(F.col("line"), F.lit(0))
 
-    def template(of: str, at: Column) -> Column:
-        return F.transform(F.slice(of, at + 1, F.col("seen.width")), lambda x: x["t"])
+    def template(of: str, at: Column, form: str) -> Column:
+        return F.transform(F.slice(of, at + 1, F.col("seen.width")), lambda x: x[form])
 
-    same = template("iw", F.col("seen.at")) == template("dw", F.col("seen.at") + F.col("line"))
+    same = F.lit(False)
+    for form in ("t", "u"):
+        same |= template("iw", F.col("seen.at"), form) == template("dw", F.col("seen.at") + F.col("line"), form)
     pairs = F.arrays_zip(F.slice("iw", start + 1, F.size("iw")).alias("i"), F.slice("dw", line + 1, F.size("iw") - start).alias("d"))
-    aligned = wanted.join(text, "doc_id").where(same).select("doc_id", "item_id", "line", F.explode(pairs).alias("p"))
+    aligned = wanted.join(text, "doc_id").where(same).select("doc_id", "item_id", "line", "named", F.explode(pairs).alias("p"))
+    form = lambda side: F.when(F.col("named"), F.col(f"p.{side}.u")).otherwise(F.col(f"p.{side}.t"))
+    aligned = aligned.withColumn("it", form("i")).withColumn("dt", form("d"))
     tidy = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     values = (
-        aligned.where((F.col("p.i.t") == F.col("p.d.t")) & _placeholder(F.col("p.i.t")))
-        .select("doc_id", "item_id", "line", tidy(F.col("p.i.r")).alias("was"), tidy(F.col("p.d.r")).alias("now"))
-        .distinct()
+        aligned.where((F.col("it") == F.col("dt")) & _placeholder(F.col("it")))
+        .groupBy("doc_id", "item_id", "line", tidy(F.col("p.i.r")).alias("was"), tidy(F.col("p.d.r")).alias("now"))
+        .agg(F.max(_placeholder(F.col("p.i.t"))).alias("sure"))
     )
     per = values.groupBy("doc_id", "item_id", "line", "was").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("was") != F.col("now"), 1).otherwise(0)).alias("moved")
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("was") != F.col("now"), 1).otherwise(0)).alias("moved"), F.max("sure").alias("sure")
     )
+    # a sentence-initial word that stays as it is counts as a slot only if it is a name elsewhere
+    per = per.where("sure or moved = 1")
     per_line = per.groupBy("doc_id", "item_id", "line").agg(
         F.count(F.lit(1)).alias("n_slots"),
         F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_steady"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def literal(of: Column) -> Column:
 
 
 def named(of: Column) -> Column:
-    return F.transform(of, lambda x: F.when(F.contains(x, F.lit(INITIAL)), NAME).otherwise(x))
+    return F.transform(of, lambda x: F.when(F.startswith(x, F.lit(INITIAL)), NAME).otherwise(x))
 
 
 def exact_tokens(text: Column) -> Column:
@@ -65,45 +67,92 @@ def raw_tokens(text: Column) -> Column:
     return F.transform(F.filter(both, lambda x: x["t"] != ""), lambda x: x["r"])
 
 
-def _windows(of: Column, width: int) -> Column:
-    n = F.size(of)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(of, i, width))))
+def _word_hashes(of: Column) -> Column:
+    return F.transform(of, lambda x: F.xxhash64(x))
+
+
+def _with_windows(df: DataFrame, name: str, widths: list[int]) -> DataFrame:
+    """df with `name{width}`: the hashes of all windows of each width over the word hashes in the array column `name`.
+
+    Hashes of 1, 2, 4 ... words come from pairs of those of half the size, other widths from their binary parts, so a
+    window costs a few hashes of two numbers whatever its width. Each level is a projection of its own, as Catalyst
+    would otherwise compute it once for each use.
+    """
+    pair = lambda a, b, by: F.zip_with(a, F.slice(b, F.lit(1 + by), F.size(b)), lambda x, y: F.xxhash64(x, y))
+    level = lambda k: F.col(f"_{name}{k}")
+    kept = [F.col(c) for c in df.columns]
+    made, size = df.withColumn(f"_{name}1", F.col(name)), 1
+    while widths and 2 * size <= max(widths):
+        made = made.withColumn(f"_{name}{2 * size}", pair(level(size), level(size), size))
+        size *= 2
+    out = []
+    for w in widths:
+        bits = [1 << k for k in range(w.bit_length()) if w >> k & 1][::-1]
+        whole, done = level(bits[0]), bits[0]
+        for k in bits[1:]:
+            whole, done = pair(whole, level(k), done), done + k
+        out.append(F.slice(whole, F.lit(1), F.greatest(F.size(name) - (w - 1), F.lit(0))).alias(f"{name}{w}"))
+    return made.select(*kept, *out)
 
 
 def _placeholder(token: Column) -> Column:
     return F.rlike(token, F.lit(f"[{NUMBER}{UNIT}{NAME}]"))
 
 
-def _item_windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
-    """(item_id, at, width, hash, total, way) of the items' windows.
+def _items(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
+    """(item_id, t, u, e, width, template) of the items: words in both readings, exact words, and the size of their windows.
 
-    way 0 are template windows with enough literal words, way 1 the same windows with sentence-initial words as names.
-    They have `window` words, or if no window of an item has enough literal words, twice as many and so on up to the
-    whole item. way 2 are windows of exact values of the items that have too few literal words altogether.
+    Windows have `window` words, or if no window of an item has enough literal words, twice as many and so on up to the
+    whole item. Items that have too few literal words altogether are no templates and have windows of exact words.
     """
-    t, u = F.col("t"), F.col("u")
+    t = F.col("t")
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     items = items.select("item_id", tokens(F.col("text")).alias("m"), exact_tokens(F.col("text")).alias("e")).where("size(m) > 0")
     items = items.select("item_id", literal(F.col("m")).alias("t"), named(F.col("m")).alias("u"), "e")
-    count = lambda of: F.aggregate(of, F.lit(0), lambda a, x: a + F.when(_placeholder(x), 0).otherwise(1))
-    starts = lambda of, w: F.sequence(F.lit(1), F.size(of) - w + 1)
     doubled = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: F.least(F.lit(window) * F.pow(F.lit(2), k).cast("int"), F.size(t)))
-    enough = F.filter(F.array_distinct(doubled), lambda w: F.exists(starts(t, w), lambda i: count(F.slice(t, i, w)) >= literals))
-    items = items.withColumn("width", F.try_element_at(enough, F.lit(1)))
-    width = F.col("width")
-    rows = F.transform(
-        starts(t, width),
-        lambda i: F.struct((i - 1).alias("at"), F.slice(t, i, width).alias("t"), F.slice(u, i, width).alias("u")),
-    )
-    kept = items.where("width is not null").withColumn("rows", F.filter(rows, lambda r: count(r.t) >= literals))
-    kept = kept.select("item_id", "width", F.size("rows").alias("total"), F.inline("rows"))
-    cols = ["item_id", "width", "total", "at", "hash", "way"]
-    plain = kept.withColumn("hash", F.xxhash64("t")).withColumn("way", F.lit(0)).select(cols)
-    other = kept.where((t != u) & (count(u) >= PLAIN)).withColumn("hash", F.xxhash64("u")).withColumn("way", F.lit(1)).select(cols)
-    scarce = items.where("width is null").withColumn("width", F.least(F.lit(window), F.size("e")))
-    values = F.transform(starts(F.col("e"), width), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("e", i, width)).alias("hash")))
-    scarce = scarce.withColumn("rows", values).select("item_id", "width", F.size("rows").alias("total"), F.inline("rows")).withColumn("way", F.lit(2))
-    return plain.unionByName(other).unionByName(scarce.select(cols))
+    enough = F.filter(F.array_distinct(doubled), lambda w: F.exists(_starts(t, w), lambda i: _literals(F.slice(t, i, w)) >= literals))
+    items = items.withColumn("width", F.try_element_at(enough, F.lit(1))).withColumn("template", F.col("width").isNotNull())
+    return items.withColumn("width", F.coalesce("width", F.least(F.lit(window), F.size("e"))))
+
+
+def _literals(of: Column) -> Column:
+    return F.aggregate(of, F.lit(0), lambda a, x: a + F.when(_placeholder(x), 0).otherwise(1))
+
+
+def _starts(of: Column, width: Column) -> Column:
+    return F.sequence(F.lit(1), F.size(of) - width + 1)
+
+
+def _with_words(width: int) -> Callable[[Column], Column]:
+    part = lambda name, at: F.slice(name, at + 1, F.lit(width))
+    return lambda c: F.struct(c["at"].alias("at"), c["hash"].alias("hash"), c["other"].alias("other"), part("t", c["at"]).alias("wt"), part("u", c["at"]).alias("wu"))
+
+
+def _item_windows(items: DataFrame, widths: list[int], template: bool, literals: int) -> DataFrame:
+    """(item_id, width, total, at, hash, way) of the items' windows.
+
+    way 0 are template windows with enough literal words, way 1 the same windows with sentence-initial words as names,
+    way 2 windows of exact words.
+    """
+    cols, out = ["item_id", "width", "total", "at", "hash", "way"], None
+    for w in widths:
+        of = items.where((F.col("width") == w) & (F.col("template") == template)).select(
+            "item_id", "t", "u", "e", F.lit(w).alias("width"), *[_word_hashes(F.col(c)).alias(f"h{c}") for c in "tue"]
+        )
+        for c in "tue":
+            of = _with_windows(of, f"h{c}", [w])
+        if template:
+            cells = F.arrays_zip(F.sequence(F.lit(0), F.size("t") - w).alias("at"), F.col(f"ht{w}").alias("hash"), F.col(f"hu{w}").alias("other"))
+            cells = F.transform(cells, _with_words(w))
+            kept = of.withColumn("cells", F.filter(cells, lambda r: _literals(r.wt) >= literals))
+            kept = kept.select("item_id", "width", F.size("cells").alias("total"), F.inline("cells"))
+            plain = kept.withColumn("way", F.lit(0)).select(cols)
+            changed = kept.where((F.col("hash") != F.col("other")) & (_literals(F.col("wu")) >= PLAIN))
+            rows = plain.unionByName(changed.select("item_id", "width", "total", "at", F.col("other").alias("hash"), F.lit(1).alias("way")))
+        else:
+            rows = of.select("item_id", "width", F.size(f"he{w}").alias("total"), F.posexplode(f"he{w}").alias("at", "hash")).withColumn("way", F.lit(2)).select(cols)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def find_leaks(
@@ -131,27 +180,29 @@ def find_leaks(
     Catalyst broadcasts them only if their measured size is below its threshold and shuffles otherwise. Slot values are
     read in a second pass over matching documents alone.
     """
-    items = cut(_item_windows(benchmark, window, literals), "items")
-    widths = sorted((r[0], r[1]) for r in items.select("width", (F.col("way") == 2).alias("exact")).distinct().collect())
+    prepared = cut(_items(benchmark, window, literals), "prepared")
+    found = sorted((r[0], r[1]) for r in prepared.select("template", "width").distinct().collect())
+    widths = {kind: [w for t, w in found if t == kind] for kind in (True, False)}
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    both = any(r[0] for r in items.select(F.col("way") == 1).distinct().collect())
-    marked = docs.select("doc_id", tokens(F.col("text")).alias("m"))
-    spread = marked.select("doc_id", literal(F.col("m")).alias("t"), named(F.col("m")).alias("u"))
-    valued = docs.select("doc_id", exact_tokens(F.col("text")).alias("t"))
+    parts = [_item_windows(prepared, widths[kind], kind, literals) for kind in (True, False) if widths[kind]]
     hits = None
-    for width, exact in widths:
-        hashes = _windows(F.col("t"), width)
-        of = valued if exact else spread
-        if both and not exact:
-            hashes = F.concat(hashes, _windows(F.col("u"), width))
-        n = F.size("t") - width + 1
-        found = (
-            of.select("doc_id", n.alias("n"), F.posexplode(hashes).alias("pos", "hash"))
-            .join(items.where((F.col("width") == width) & ((F.col("way") == 2) == exact)), "hash")
-            .where(F.lit(True) if exact else F.col("way") == F.when(F.col("pos") < F.col("n"), 0).otherwise(1))
-            .select("doc_id", "item_id", (F.col("pos") % F.col("n")).alias("pos"), "at", "width", "total", "way")
-        )
-        hits = found if hits is None else hits.unionByName(found)
+    if parts:
+        items = cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "items")
+        forms = [("t", 0), ("u", 1)] * bool(widths[True]) + [("e", 2)] * bool(widths[False])
+        words = docs
+        if widths[True]:
+            words = words.withColumn("c", canonical(F.col("text")))
+            split = lambda c: F.array_remove(F.split(c, _SPACE), "")
+            initial = lambda x: F.when(F.startswith(x, F.lit(INITIAL)), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(x))
+            words = words.withColumn("t", _word_hashes(split(F.replace("c", F.lit(INITIAL), F.lit(""))))).withColumn("u", F.transform(split("c"), initial))
+        if widths[False]:
+            words = words.withColumn("e", _word_hashes(exact_tokens(F.col("text"))))
+        words = words.select("doc_id", *[c for c, _ in forms])
+        for c, way in forms:
+            words = _with_windows(words, c, widths[way < 2])
+        cells = [F.struct(F.lit(way).alias("form"), F.col(f"{c}{w}").alias("hashes")) for c, way in forms for w in widths[way < 2]]
+        spread = words.select("doc_id", F.inline(F.array(*cells))).select("doc_id", "form", F.posexplode("hashes").alias("pos", "hash"))
+        hits = spread.join(items, "hash").where("form = way").select("doc_id", "item_id", "pos", "at", "width", "total", "way")
     if hits is None:
         spark: SparkSession = docs.sparkSession
         ids = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
@@ -194,20 +245,24 @@ def _slots(docs: DataFrame, benchmark: DataFrame, hits: DataFrame, strong: DataF
     item = benchmark.join(wanted_items, "item_id", "left_semi").select(
         "item_id", words(F.col("text").cast("string")).alias("iw")
     )
-    slotted = item.where(F.exists("iw", lambda x: _placeholder(x["u"])))
+    slotted = cut(item.where(F.exists("iw", lambda x: _placeholder(x["u"]))), "slotted")
     lines = hits.groupBy("doc_id", "item_id", "named", (F.col("pos") - F.col("at")).alias("line")).agg(F.min(F.struct("at", "width")).alias("seen"))
-    wanted = cut(lines.join(slotted, "item_id"), "wanted")
-    text = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("dw"))
-    start, line = F.greatest(-F.col("line"), F.lit(0)), F.greatest(F.col("line"), F.lit(0))
+    lines = lines.join(slotted.select("item_id", F.size("iw").alias("n")), "item_id")
+    wanted = cut(lines.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "line", "named", "seen", "n")).alias("lines")), "wanted")
+    # a text is cut into words once, whatever the number of its lines, and only the words beside an item go on
+    text = docs.join(wanted, "doc_id").select("doc_id", "lines", words(F.col("text")).alias("dw"))
+    beside = lambda x: F.slice("dw", F.greatest(x["line"], F.lit(0)) + 1, F.greatest(x["n"] + F.least(x["line"], F.lit(0)), F.lit(0)))
+    cells = F.transform("lines", lambda x: F.struct(*[x[k].alias(k) for k in ("item_id", "line", "named", "seen")], beside(x).alias("dw")))
+    start = F.greatest(-F.col("line"), F.lit(0))
 
     def template(of: str, at: Column, form: str) -> Column:
         return F.transform(F.slice(of, at + 1, F.col("seen.width")), lambda x: x[form])
 
     same = F.lit(False)
     for form in ("t", "u"):
-        same |= template("iw", F.col("seen.at"), form) == template("dw", F.col("seen.at") + F.col("line"), form)
-    pairs = F.arrays_zip(F.slice("iw", start + 1, F.size("iw")).alias("i"), F.slice("dw", line + 1, F.size("iw") - start).alias("d"))
-    aligned = wanted.join(text, "doc_id").where(same).select("doc_id", "item_id", "line", "named", F.explode(pairs).alias("p"))
+        same |= template("iw", F.col("seen.at"), form) == template("dw", F.col("seen.at") - start, form)
+    pairs = F.arrays_zip(F.slice("iw", start + 1, F.size("dw")).alias("i"), F.col("dw").alias("d"))
+    aligned = text.select("doc_id", F.inline(cells)).join(slotted, "item_id").where(same).select("doc_id", "item_id", "line", "named", F.explode(pairs).alias("p"))
     form = lambda side: F.when(F.col("named"), F.col(f"p.{side}.u")).otherwise(F.col(f"p.{side}.t"))
     aligned = aligned.withColumn("it", form("i")).withColumn("dt", form("d"))
     tidy = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tidewatch.llm import toxicity
 
@@ -62,3 +63,10 @@ def test_repeated_rows_do_not_move_the_model(spark):
     more = docs.unionByName(docs.where("doc_id = 4").crossJoin(spark.range(300).select()))
     once, often = toxicity.fit(docs, labels), toxicity.fit(more, labels)
     assert more.count() == 420 and once.bias == often.bias and (once.pull == often.pull).all()
+
+
+def test_counts_above_a_short_are_whole():
+    body = b"melon " * 40_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([body], pa.binary())], names=["label", "body"])
+    (out,) = toxicity._feature_batches(iter([batch]))
+    assert out.column(2)[0].as_py() == toxicity.features(body)[1].tolist() and max(out.column(2)[0].as_py()) >= 40_000

@@ -157,7 +157,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             [
                 batch.column(0),
                 pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
-                pa.array([np.minimum(f[1], 32_767).astype(np.int16) for f in found], pa.list_(pa.int16())),
+                pa.array([f[1].astype(np.int64) for f in found], pa.list_(pa.int64())),
             ],
             names=["label", "buckets", "counts"],
         )
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         picked = part if picked is None else picked.unionByName(part)
     # one text an id: an id that many rows repeat adds no more to the driver than any other
     rows = docs.select("doc_id", _body(docs)).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.min("body").alias("body")).drop("doc_id")
-    table = rows.mapInArrow(_feature_batches, "label int, buckets array<int>, counts array<short>").toArrow()
+    table = rows.mapInArrow(_feature_batches, "label int, buckets array<int>, counts array<long>").toArrow()
     if len(set(table.column("label").to_pylist())) < 2:
         return None
     examples = []

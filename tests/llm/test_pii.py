@@ -80,3 +80,27 @@ def test_rows_and_edges(spark):
     masked = {r.doc_id: r for r in pii.mask_documents(docs).collect()}
     assert masked[1].text == "mail [email] or call [phone], ip [ip], visa card [card]. " and masked[2].text is None
     assert pii.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_malformed_text_and_other_columns(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'6A6F65406D61696C2E636F6DFF2020' AS STRING) AS text, 5 AS n_email UNION ALL SELECT 2L, 'joe@mail.com', 6")
+    out = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert out[1].n_email == out[2].n_email == 1 and out[1].spans == "email:0:12"
+    assert {r.doc_id: r.text for r in pii.mask_documents(docs).collect()} == {1: "[email]\ufffd  ", 2: "[email]"}
+
+
+def test_loose_spans_keep_off_base_spans():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice("0123456789.- ()+@a") for _ in range(120))
+        base = pii.base_spans(text)
+        taken = [s for k in pii.KINDS for s in base[k]]
+        loose = [(k, s, e) for k, s, e, own, _ in pii.candidates(text, base) if not own]
+        plain_loose = []
+        for kind, shape in pii._LOOSE:
+            end = -1
+            for m in shape.finditer(text):
+                if m.start() >= end and not any(a < m.end() and m.start() < b for a, b in taken):
+                    plain_loose.append((kind, *m.span()))
+                    end = m.end()
+        assert loose == plain_loose

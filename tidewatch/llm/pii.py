@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -119,14 +119,22 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> Iterator[tu
     feature: the four votes, the number of digits in five steps, the number of separators in three.
     """
     spans = [(k, s, e, True) for k in KINDS for s, e in base[k]]
-    taken = sorted((s, e) for _, s, e, _ in spans)
+    # base spans merged into disjoint ones, so that the loose spans of a kind, which rise too, pass them in one go
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e, _ in spans):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     digits = _DIGIT.search(text) is not None
     for kind, shape in _LOOSE:
         if ("(" in text or "[" in text) if kind == "email" else digits and (kind != "ip" or ":" in text):
-            end = -1
+            end, at = -1, 0
             for m in shape.finditer(text):
                 s, e = m.span()
-                if s >= end and not any(a < e and s < b for a, b in taken):
+                while at < len(taken) and taken[at][1] <= s:
+                    at += 1
+                if s >= end and not (at < len(taken) and taken[at][0] < e):
                     spans.append((kind, s, e, False))
                     end = e
     for kind, s, e, is_base in spans:
@@ -239,10 +247,14 @@ def _span_batches(batches: Iterator[pa.RecordBatch], model: Model | None) -> Ite
         )
 
 
+def _valid() -> Column:
+    return F.make_valid_utf8(F.col("text").cast("string")).alias("text")
+
+
 def train(docs: DataFrame) -> Model | None:
     """The classifier of all candidates of all texts; what reaches the driver is a table of at most 4,860 vote patterns."""
     patterns = (
-        docs.select(F.col("text").cast("string").alias("text"))
+        docs.select(_valid())
         .mapInArrow(_vote_batches, "kind string, feature string, n long")
         .groupBy("kind", "feature")
         .agg(F.sum("n").alias("n"))
@@ -254,11 +266,11 @@ def find_spans(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs (doc_id, text).
 
     Counts and base_sha256 are those of the base spans; spans holds `kind:start:end` of all spans, base ones and those
-    the classifier accepts, by kind as in KINDS, then start, in code points. Null texts are empty. Repeated rows stay;
-    other columns are ignored.
+    the classifier accepts, by kind as in KINDS, then start, in code points. Null texts are empty. Bytes that are no valid
+    UTF-8 count as U+FFFD. Repeated rows stay; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select("doc_id", _valid()).mapInArrow(
         partial(_span_batches, model=model),
         f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string",
     )
@@ -300,6 +312,10 @@ def _mask_batches(batches: Iterator[pa.RecordBatch], model: Model | None, at: in
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """docs, all columns and rows, with the personal data in `text` masked; null and empty texts stay as they are."""
+    """docs, all columns and rows, with the personal data in `text` masked; null and empty texts stay as they are.
+
+    Bytes of a text that are no valid UTF-8 become U+FFFD. Other string columns must be valid.
+    """
     model = train(docs)
+    docs = docs.withColumn("text", _valid())
     return docs.mapInArrow(partial(_mask_batches, model=model, at=docs.columns.index("text")), docs.schema)

@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import sharding
 
 
@@ -42,3 +44,15 @@ def test_documents(spark, monkeypatch):
     sums = check(rows, sharding.shard_documents(docs).collect())
     assert max(sums) - min(sums) <= 0.03 * sum(sums)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_gapless_splits_equal_rows(spark, monkeypatch):
+    from tidewatch.llm import numbering, scratch
+
+    monkeypatch.setattr(numbering, "ROWS_PER_SALT", 50)
+    rows = scratch.cut(spark.range(2000).select(F.lit(7).alias("doc_id"), F.when(F.col("id") < 5, 1).otherwise(0).alias("g")).repartition(3), "equal")
+    got = numbering.gapless(rows, ["g"], ["doc_id"], "at", 2000)
+    numbers = {g: sorted(r["at"] for r in got.where(F.col("g") == g).collect()) for g in (0, 1)}
+    assert numbers == {0: list(range(1995)), 1: list(range(5))}
+    salts = rows.select(F.pmod(F.xxhash64("doc_id", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / 50)), F.lit(40)).alias("s"))
+    assert max(r["count"] for r in salts.groupBy("s").count().collect()) < 600

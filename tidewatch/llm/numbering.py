@@ -17,10 +17,12 @@ def gapless(df: DataFrame, group: list[str], order: list[str], out: str, rows: i
     """df with `out`, a long from 0 without gaps in each group; group columns hold no null.
 
     Each group is cut by a hash of the order columns into salts of bounded size. Rows are numbered inside a salt and
-    shifted by the counts of the salts before it, so no task sees a whole group. df is read twice: hand in a cut one.
-    Rows equal in all order columns of one salt are numbered in any order.
+    shifted by the counts of the salts before it, so no task sees a whole group. The salt depends on a row's place in its
+    file too, so that rows equal in all order columns spread as well; they are numbered in any order. df is read twice
+    and must stem from a written table alone, as cut() gives it.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts_for(rows))))
+    place = F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / ROWS_PER_SALT)
+    salted = df.select("*", F.pmod(F.xxhash64(*order, *place), F.lit(salts_for(rows))).alias("_salt"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         salted.groupBy(*group, "_salt")

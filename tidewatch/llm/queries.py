@@ -82,6 +82,22 @@ QUERIES = {
     for f in (op1_decontaminate, op2_url_filter, op3_simhash, op4_toxicity, op5_pii, op6_chat, op7_licences, op8_packing, op9_topk, op10_sharding)
 }
 
+#: The columns of some operators' results that SQL can express, under names of their own.
+PARTS = {
+    "part_licence_places": lambda s, d: op7_licences(s, d).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+    "part_personal_data_counts": lambda s, d: op5_pii(s, d).select("doc_id", "n_email", "n_ip", "n_card", "n_phone"),
+    "part_packing_segments": lambda s, d: op8_packing(s, d).select("doc_id", "segment", "first_token", "n_tokens"),
+    "part_shard_sizes": lambda s, d: op10_sharding(s, d).select("doc_id", "size", "law"),
+}
+QUERIES |= PARTS
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLACES = " || ".join(
+    f"list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i : i + {len(p.split()) - 1}] = {p.split()}), lambda i: struct_pack(i := i, label := '{label}'))" for p, label in licences.PHRASES.items()
+)
+_COUNT = r"CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '{}'), lambda m: {})) AS BIGINT)"
+_BARE = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_BARE}) + 1), lambda i: CAST(substr({_BARE}, CAST(length({_BARE}) - i + 1 AS INT), 1) AS INT) * (2 - i % 2) // 10 + CAST(substr({_BARE}, CAST(length({_BARE}) - i + 1 AS INT), 1) AS INT) * (2 - i % 2) % 10)) % 10 = 0"
 _HOST = r"coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
 _RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
@@ -114,4 +130,20 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "part_licence_places": f"""
+WITH t AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, {_PLACES} AS p FROM t)
+SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.i - 1)) AS first_word,
+  list_max(list_transform(p, lambda x: x.i - 1)) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ','), '') AS base_labels FROM p""",
+    "part_personal_data_counts": f"""
+SELECT doc_id, {_COUNT.format(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true")} AS n_email,
+  {_COUNT.format(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 256) > 255)) = 0")} AS n_ip,
+  {_COUNT.format(r"[0-9]([\x20-]?[0-9])+", f"length({_BARE}) BETWEEN 16 AND 19 AND {_LUHN}")} AS n_card,
+  {_COUNT.format(r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_BARE}) BETWEEN 8 AND 15")} AS n_phone FROM documents""",
+    "part_packing_segments": r"""
+WITH t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}{1,3}|[^ \t\n\r\f\x0B\p{L}\p{N}]+')) AS n FROM documents),
+s AS (SELECT doc_id, n, unnest(range(CAST(greatest(1, ceil(n / 2048)) AS BIGINT))) AS segment FROM t)
+SELECT doc_id, segment, segment * 2048 AS first_token, CAST(least(n - segment * 2048, 2048) AS INT) AS n_tokens FROM s""",
+    "part_shard_sizes": "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, 'bytes' AS law FROM documents",
 }

@@ -195,7 +195,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_budget_and_config():
-    assert budget.derive_budget(10, 10, "deep").limits["quality_rows"] == 10_000 and budget.scale_class(200_000, 3) == "large"
+    assert budget.derive_budget(10**6, 10, "deep").limits["fit_rows"] == 4_096 and budget.column_limit(10**6, 50, 10) == 32 and budget.scale_class(200_000, 3) == "large"
     assert not config.resolve_config(mode="quick").enabled("time_series") and config.resolve_config(preset="modeling").enabled("modeling")
     with pytest.raises(ValueError):
         config.resolve_config(mode="odd")
@@ -207,3 +207,64 @@ def test_analyze_and_plan(spark):
     assert out["target_intelligence"]["task_type"] == "classification" and "segment" in {x["feature"] for x in out["target_intelligence"]["leakage"]}
     assert out["health"]["overall_score"] > 0 and api.plan(df)["shape"]["rows"] == 80 and "<h2>health</h2>" in api.to_html(out)
     assert charts.facts({"a": [1, {"b": 2}]}) == [("a[0]", "1"), ("a[1].b", "2")]
+
+
+def test_shapiro_at_published_values():
+    from tidewatch.operators.statistics import shapiro_wilk
+
+    w, p = shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
+    assert math.isclose(w, 0.78881, abs_tol=1e-4) and math.isclose(p, 0.006704, abs_tol=2e-4)
+    rng = np.random.default_rng(3)
+    assert shapiro_wilk(np.sort(rng.normal(size=400)))[1] > 0.05 > shapiro_wilk(np.sort(rng.exponential(size=400)))[1]
+
+
+def test_distribution_fits_find_the_source(spark):
+    from tidewatch.operators import statistics
+
+    assert math.isclose(S.digamma(1.0), -0.5772156649, abs_tol=1e-9) and math.isclose(S.trigamma(1.0), math.pi**2 / 6, abs_tol=1e-9)
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"norm": rng.normal(5, 2, 4000), "lognorm": rng.lognormal(0, 1, 4000), "gamma": rng.gamma(3, 2, 4000), "weibull_min": 40 * rng.weibull(2.5, 4000), "beta": rng.beta(2, 6, 4000)})
+    found: dict = {}
+    for r in statistics.distribution_fit(spark.createDataFrame(frame), list(frame)).collect():
+        found.setdefault(r["column"], {})[r["distribution"]] = r["aic"]
+    assert {n: min(f, key=f.get) for n, f in found.items()} == {n: n for n in frame}
+
+
+def test_mean_shift_rules(spark):
+    means = lambda ys: spark.createDataFrame([(k, y) for k, y in enumerate(ys)], "tile long, mean double")
+    rng = np.random.default_rng(11)
+    moved = series.page_hinkley(means([float(x) for x in np.r_[rng.normal(10, 0.2, 30), rng.normal(12, 0.2, 20)]])).first()
+    assert moved["detected"] and moved["direction"] == "up" and moved["detected_at"] > 30 and moved["sufficient"]
+    quiet = series.page_hinkley(means([float(x) for x in np.random.default_rng(7).normal(10, 0.15, 80)]), threshold=10.0).first()
+    assert not quiet["detected"] and quiet["updates"] == 80
+    none = series.page_hinkley(means([None, float("nan"), float("inf")])).first()
+    assert none["updates"] == 0 and not none["sufficient"]
+
+
+def test_split_by_date_is_exact_with_ties(spark):
+    rows = [(k, f"2024-01-{1 + k // 30:02d}") for k in range(100)] + [(100, None)]
+    old, new = sampling.split_by_date(spark.createDataFrame(rows, "k long, d string"), "d")
+    assert old.count() == new.count() == 50 and old.columns == ["k", "d"]
+    assert max(r.d for r in old.collect()) <= min(r.d for r in new.collect())
+
+
+def test_results_can_be_asked(spark):
+    df = spark.createDataFrame([(k, float(k % 7), "ab"[k % 2]) for k in range(80)], "customer_id long, signal double, segment string")
+    out = api.analyze(df, mode="research", disabled_modules=["modeling", "explainability"])
+    assert out.summary()["shape"] == {"rows": 80, "columns": 3} and out.column("segment")["categorical"]["unique_values"] == 2
+    assert out.section("profile.shape.rows") == 80 and out["execution"]["anomaly_method"] == "ensemble"
+    assert out.top_anomalies(3) and out.search("customer_id") and "80 rows" in out.brief() and out.to_snapshot()
+
+
+def test_wide_tables_take_few_jobs(spark):
+    from tidewatch.operators.facts import Facts
+
+    df = spark.createDataFrame([tuple(float(k * j % 13) for j in range(1, 61)) + (f"v{k % 5}",) for k in range(200)], ", ".join(f"n{j} double" for j in range(60)) + ", t string")
+    tracker, group = spark.sparkContext.statusTracker(), "wide"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        p = profile.build_profile(df, facts=Facts(df))
+    finally:
+        jobs = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 30 and p["correlations"]["n0"]["n1"] is not None

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import anomaly, bivariate, checks, cleaning, contracts, drift, ml, quality as quality_, roles as roles_, scoring, statistics as statistics_, target as target_
 from .operators import gate as gate_
+from .operators.facts import held
 from .operators import profile as profile_
 from .plans import analyze as analyze_
 from .plans.config import resolve_config
@@ -30,23 +31,28 @@ def inspect_source(data: object) -> dict:
 
 
 def profile(data: object) -> dict:
-    return profile_.build_profile(_frame(data))
+    with held(_frame(data)) as df:
+        return profile_.build_profile(df)
 
 
 def roles(data: object) -> dict:
-    return roles_.infer_roles(_frame(data))
+    with held(_frame(data)) as df:
+        return roles_.infer_roles(df)
 
 
 def health(data: object) -> dict:
-    return scoring.health_score(_frame(data))
+    with held(_frame(data)) as df:
+        return scoring.health_score(df)
 
 
 def ml_readiness(data: object) -> dict:
-    return scoring.readiness_from(profile_.build_profile(_frame(data)))
+    with held(_frame(data)) as df:
+        return scoring.readiness_from(profile_.build_profile(df))
 
 
 def quality(data: object, *, max_columns: int = 100) -> dict:
-    return quality_.run_quality(_frame(data), max_columns)
+    with held(_frame(data)) as df:
+        return quality_.run_quality(df, max_columns)
 
 
 def statistics(data: object, *, max_pairs: int = 20) -> dict:

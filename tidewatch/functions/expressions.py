@@ -22,10 +22,10 @@ def missing(df: DataFrame, name: str) -> Column:
 
 def finite(df: DataFrame, name: str) -> Column:
     """The value as double; null if it is missing or infinite. Decimals count as numbers."""
-    c = F.col(f"`{name}`").cast("double")
     if not is_fractional(df.schema[name].dataType):
-        return c
-    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+        return F.col(f"`{name}`").cast("double")
+    # one expression a column, as wide tables have many
+    return F.expr(f"CASE WHEN abs(CAST(`{name}` AS DOUBLE)) < DOUBLE('Infinity') THEN CAST(`{name}` AS DOUBLE) END")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -109,3 +109,53 @@ def kolmogorov_sf(x: float) -> float:
         total = sum(math.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8 * x * x)) for k in range(1, 30))
         return max(0.0, 1 - math.sqrt(2 * math.pi) / x * total)
     return min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 30)))
+
+
+def digamma(x: float) -> float:
+    out = 0.0
+    while x < 8:
+        out -= 1 / x
+        x += 1
+    y = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def trigamma(x: float) -> float:
+    out = 0.0
+    while x < 8:
+        out += 1 / (x * x)
+        x += 1
+    y = 1 / (x * x)
+    return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
+
+
+def inverse_digamma_gap(gap: float) -> float:
+    """a with log(a) - digamma(a) = gap: the shape of a gamma distribution whose mean and mean logarithm lie so far apart."""
+    gap = max(gap, 1e-12)
+    a = (3 - gap + math.sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap)
+    for _ in range(50):
+        new = a - (math.log(a) - digamma(a) - gap) / (1 / a - trigamma(a))
+        new = a / 2 if new <= 0 else new
+        if abs(new - a) <= 1e-12 * a:
+            return new
+        a = new
+    return a
+
+
+def beta_shapes(log_mean: float, log_rest: float, mean: float, variance: float) -> tuple[float, float]:
+    """The maximum-likelihood shapes of a beta distribution from the mean logarithms of x and 1 - x."""
+    size = max(mean * (1 - mean) / variance - 1, 1e-3)
+    a, b = mean * size, (1 - mean) * size
+    for _ in range(200):
+        both, both1 = digamma(a + b), trigamma(a + b)
+        f, g = digamma(a) - both - log_mean, digamma(b) - both - log_rest
+        p, q = trigamma(a) - both1, trigamma(b) - both1
+        det = p * q - both1 * both1
+        da, db = (f * q + g * both1) / det, (g * p + f * both1) / det
+        step = 1.0
+        while a - step * da <= 0 or b - step * db <= 0:
+            step /= 2
+        a, b = a - step * da, b - step * db
+        if abs(da) <= 1e-10 * a and abs(db) <= 1e-10 * b:
+            break
+    return a, b

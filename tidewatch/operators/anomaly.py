@@ -7,17 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .ranks import cumulative, exact_quantiles
 
 
 def robust_scales(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """(median, scale) of each usable column: 1.4826 MAD, else the deviation; constants are left out."""
-    first = df.agg(*[F.struct(F.percentile(X.finite(df, n), 0.5), F.stddev_samp(X.finite(df, n))).alias(str(k)) for k, n in enumerate(names)]).first()
-    usable = [n for k, n in enumerate(names) if first[k][0] is not None and first[k][1]]
-    if not usable:
-        return {}
-    at = {n: first[k] for k, n in enumerate(names)}
-    second = df.agg(*[F.percentile(F.abs(X.finite(df, n) - F.lit(at[n][0])), 0.5).alias(str(k)) for k, n in enumerate(usable)]).first()
-    return {n: (at[n][0], 1.4826 * second[k] or at[n][1]) for k, n in enumerate(usable)}
+    columns = [X.finite(df, n) for n in names]
+    first = exact_quantiles(df, columns, [0.5], [F.stddev_samp("x").alias("std")]) if names else []
+    usable = [k for k, f in enumerate(first) if f["quantiles"] and f["std"]]
+    second = exact_quantiles(df, [F.abs(columns[k] - F.lit(first[k]["quantiles"][0])) for k in usable], [0.5]) if usable else []
+    return {names[k]: (first[k]["quantiles"][0], 1.4826 * s["quantiles"][0] or first[k]["std"]) for k, s in zip(usable, second, strict=True)}
 
 
 def robust_z(df: DataFrame, names: list[str]) -> list[Column]:
@@ -91,16 +90,27 @@ def mahalanobis(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     return df.select(*keys, F.round(F.sqrt(F.greatest(total, F.lit(0.0))), 6).alias("distance"))
 
 
-def ecod_scores(df: DataFrame, names: list[str], keys: list[str], buckets: int = 1_000) -> DataFrame:
-    """(keys, score): the sum of negative log tail shares of each column, tails read from equal-frequency edges."""
-    edges = df.agg(*[F.percentile_approx(X.finite(df, n), [q / buckets for q in range(buckets + 1)], 10_000).alias(str(k)) for k, n in enumerate(names)]).first()
-    total = F.lit(0.0)
-    for k, n in enumerate(names):
-        marks = F.array(*[F.lit(float(e)) for e in edges[k]])
-        below = F.aggregate(marks, F.lit(0), lambda a, e: a + (e < X.finite(df, n)).cast("int"))  # noqa: B023
-        share = F.greatest(below / buckets, F.lit(0.5 / buckets))
-        total = total + F.coalesce(F.greatest(-F.log(F.least(share, F.lit(1.0))), -F.log(F.greatest(1 - share, F.lit(0.5 / buckets)))), F.lit(0.0))
-    return df.select(*keys, total.alias("score"))
+def ecod_scores(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """(keys, score): over all columns the largest of the left, right and skewness-chosen sums of negative log tail shares.
+
+    A value's left share is that of the values up to it, its right share that of the values from it on, both exact, from
+    cumulative counts of distinct values. A row's missing values add nothing.
+    """
+    x = [X.finite(df, n) for n in names]
+    row = df.agg(*[f(c) for c in x for f in (F.count, F.skewness)]).first()
+    out = df.select(*keys, *[c.alias(f"_x{k}") for k, c in enumerate(x)])
+    left = right = fair = F.lit(0.0)
+    for k in range(len(names)):
+        n, skew = row[2 * k], row[2 * k + 1]
+        if not n:
+            continue
+        tails = cumulative(out.select(f"_x{k}"), f"_x{k}", {"n": F.count(F.lit(1))})
+        below, above = -F.log(F.col("upto_n") / n), -F.log((F.lit(n) - F.col("upto_n") + F.col("n")) / n)
+        out = out.join(tails.select(f"_x{k}", below.alias(f"_l{k}"), above.alias(f"_r{k}")), f"_x{k}", "left")
+        low, high = F.coalesce(f"_l{k}", F.lit(0.0)), F.coalesce(f"_r{k}", F.lit(0.0))
+        left, right = left + low, right + high
+        fair = fair + (low if skew is not None and skew < 0 else high)
+    return out.select(*keys, F.round(F.greatest(left, right, fair), 6).alias("score"))
 
 
 def isolation_scores(df: DataFrame, names: list[str], keys: list[str], trees: int = 100, size: int = 256, seed: int = 42) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from itertools import combinations
 
 import numpy as np
@@ -11,25 +12,42 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import special as S
+from . import ranks
+from .ranks import cumulative
+
+
+#: Strips of either column in which pairs of rows are compared.
+STRIPS = 2_000
 
 
 def strength(r: Column) -> Column:
     return X.ladder(F.abs(r), [(0.8, "very_strong"), (0.6, "strong"), (0.4, "moderate"), (0.2, "weak")], "negligible")
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with the average rank of `value`; ranks are computed on distinct values and joined back."""
-    freq = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value))
-    ranks = freq.select(value, (upto - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, value)
+def average_ranks(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """(value, rank): the average rank of each distinct value of rows that count `weight` times."""
+    upto = cumulative(df.select(value, weight), value, {"_n": F.sum(weight)})
+    return upto.select(value, (F.col("upto__n") - (F.col("_n") - 1) / 2).alias("rank"))
 
 
-def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
-    """(n, spearman) over rows where both are finite."""
+def pair_counts(df: DataFrame, left: str, right: str) -> DataFrame:
+    """(x, y, n): distinct pairs of finite values."""
     both = df.select(X.finite(df, left).alias("x"), X.finite(df, right).alias("y")).where("x is not null and y is not null")
-    ranked = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    return both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
+    """(n, spearman) over rows where both are finite; ranks are joined to distinct pairs, not to rows."""
+    pairs = pair_counts(df, left, right)
+    rx, ry = (average_ranks(pairs, c, "n").withColumnRenamed("rank", f"r{c}") for c in ("x", "y"))
+    n, a, b = F.col("n").cast("double"), F.col("rx"), F.col("ry")
+    # both mean ranks are (N + 1) / 2, so that sums of centred products need no second pass
+    total = pairs.agg(F.sum("n")).first()[0]
+    if not total:
+        return df.sparkSession.createDataFrame([(0, None)], "n long, spearman double")
+    a, b = a - (total + 1) / 2, b - (total + 1) / 2
+    r = F.sum(n * a * b) / F.nullif(F.sqrt(F.sum(n * a * a) * F.sum(n * b * b)), F.lit(0.0))
+    return pairs.join(rx, "x").join(ry, "y").agg(F.sum("n").alias("n"), F.round(r, 6).alias("spearman"))
 
 
 def correlation_p(r: float, n: int) -> float:
@@ -38,21 +56,81 @@ def correlation_p(r: float, n: int) -> float:
     return 2 * S.t_sf(abs(r) * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
-def kendall(df: DataFrame, left: str, right: str, order: list[str], most: int = 2_000) -> DataFrame:
-    """(n, tau_b) on a bounded deterministic sample, as the pair comparison is quadratic."""
-    from .sampling import sample_rows
+def kendall(df: DataFrame, left: str, right: str) -> DataFrame:
+    """(n, tau_b) over all rows where both are finite, exact at every size."""
+    pairs = pair_counts(df, left, right).persist()
+    couples = lambda n: F.sum(n.cast("decimal(38,0)") * (n - 1) / 2)
+    tied = lambda *c: int(pairs.groupBy(*c).agg(F.sum("n").alias("t")).agg(couples(F.col("t"))).first()[0] or 0)
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    whole, same_x, same_y, same = total * (total - 1) // 2, tied("x"), tied("y"), tied("x", "y")
+    # of all pairs of rows without a tie, those that are not discordant are concordant
+    score = whole - same_x - same_y + same - 2 * _discordant(pairs)
+    pairs.unpersist()
+    scale = math.sqrt(whole - same_x) * math.sqrt(whole - same_y)
+    return df.sparkSession.createDataFrame([(total, score / scale if scale else None)], "n long, tau_b double")
+
+
+def inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
+    """The sum of n_i n_j over x_i < x_j and y_i > y_j: at each level of a merge, left halves against right halves."""
+    order = np.lexsort((y, x))
+    rank, n = np.unique(y[order], return_inverse=True)[1].astype(np.int64), n[order].astype(np.int64)
+    at, width, total, size = np.arange(len(n)), 1, 0, len(n)
+    fits = int(n.sum()) < 1 << 31
+    while width < size:
+        block, side = at // (2 * width), at // width % 2
+        by = np.argsort((block * size + rank) * 2 + side, kind="stable")
+        block, side, weight = block[by], side[by], n[by]
+        run = np.cumsum(np.where(side == 0, weight, 0))
+        ends = run[np.searchsorted(block, np.arange(block[-1] + 1), "right") - 1]
+        above, late = (ends[block] - run)[side == 1], weight[side == 1]
+        total += int(above @ late) if fits else sum(a * b for a, b in zip(above.tolist(), late.tolist(), strict=True))
+        width *= 2
+    return total
+
+
+def _strips(pairs: DataFrame, column: str, rows: int) -> tuple[list[float], list[int]]:
+    """Cuts that leave about RANGE_ROWS pairs in a strip, and the strips of one hot value alone."""
+    parts = min(STRIPS, -(-rows // ranks.RANGE_ROWS))
+    if parts <= 1:
+        return [], []
+    marks = pairs.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
+    hot = {a for a, b in zip(marks, marks[1:], strict=False) if a == b}
+    cuts = sorted(set(marks) | {math.nextafter(h, math.inf) for h in hot})
+    return cuts, [cuts.index(h) + 1 for h in sorted(hot)]
+
+
+def _discordant(pairs: DataFrame) -> int:
+    """The number of row pairs with rising x and falling y, over distinct (x, y, n).
+
+    x and y are cut into at most STRIPS strips each. Pairs of rows that share neither strip follow from the grid of strip
+    counts, of at most STRIPS squared cells; those that share an x strip are counted in its task, and those that share
+    only a y strip in that strip's task, by merging. A hot value has a strip of its own, which holds no such pair.
+    """
+    rows = pairs.count()
+    (cx, hot_x), (cy, hot_y) = _strips(pairs, "x", rows), _strips(pairs, "y", rows)
+    spread = ranks.with_range(ranks.with_range(pairs, "x", cx, "_px"), "y", cy, "_py")
+
+    def count(by: str, name: str):
+        def one(part):
+            import pandas as pd
+
+            found = inversions(part[name].to_numpy(float), part["y"].to_numpy(float), part["n"].to_numpy())
+            return pd.DataFrame({"c": [Decimal(found)]})
+
+        return lambda frame: int(frame.groupBy(by).applyInPandas(one, "c decimal(38,0)").agg(F.sum("c")).first()[0] or 0)
 
-    both = df.where(X.finite(df, left).isNotNull() & X.finite(df, right).isNotNull())
-    rows = sample_rows(both, order, most).select(X.finite(df, left).alias("x"), X.finite(df, right).alias("y")).collect()
-    x, y = (np.array([r[k] for r in rows], float) for k in (0, 1))
-    score = up_x = up_y = 0.0
-    for k in range(len(x)):
-        a, b = np.sign(x[k + 1 :] - x[k]), np.sign(y[k + 1 :] - y[k])
-        score += float((a * b).sum())
-        up_x += float(np.abs(a).sum())
-        up_y += float(np.abs(b).sum())
-    tau = score / math.sqrt(up_x * up_y) if up_x and up_y else None
-    return df.sparkSession.createDataFrame([(len(rows), tau)], "n long, tau_b double")
+    total = count("_px", "x")(spread.where(~F.col("_px").isin(hot_x)))
+    if cx:
+        flat = spread.groupBy("_py", "_px", "y").agg(F.sum("n").alias("n"))
+        total += count("_py", "_px")(flat.where(~F.col("_py").isin(hot_y)))
+        grid = np.zeros((len(cx) + 1, len(cy) + 1), np.int64)
+        for r in spread.groupBy("_px", "_py").agg(F.sum("n").alias("n")).collect():
+            grid[r["_px"], r["_py"]] = r["n"]
+        # rows of later x strips and earlier y strips
+        below = np.zeros_like(grid)
+        below[:-1, 1:] = np.cumsum(np.cumsum(grid[::-1], axis=0)[::-1][1:, :-1], axis=1)
+        total += sum(a * b for a, b in zip(grid.ravel().tolist(), below.ravel().tolist(), strict=True))
+    return total
 
 
 def contingency(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -97,9 +175,9 @@ def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     """(g, n, rank_sum, ties, total): rank sums of each group, and the sum of t^3 - t over tied values."""
     both = df.select(F.col(f"`{group}`").cast("string").alias("g"), X.finite(df, value).alias("x")).where("g is not null and x is not null")
     cells = both.groupBy("x", "g").agg(F.count(F.lit(1)).alias("k"))
-    per = cells.groupBy("x").agg(F.sum("k").alias("t"), F.collect_list(F.struct("g", "k")).alias("groups"))
-    mid = F.sum("t").over(Window.orderBy("x")) - (F.col("t") - 1) / 2
-    ranked = per.select(mid.alias("rank"), "groups").select("rank", F.inline("groups"))
+    per = cumulative(both, "x", {"t": F.count(F.lit(1))})
+    mid = F.col("upto_t") - (F.col("t") - 1) / 2
+    ranked = cells.join(per.select("x", mid.alias("rank")), "x")
     ties = per.agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"), F.sum("t").alias("total"))
     return ranked.groupBy("g").agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("k")).alias("rank_sum")).crossJoin(F.broadcast(ties))
 

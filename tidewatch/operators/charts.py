@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .ranks import exact_quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int = 12) -> DataFrame:
@@ -23,11 +24,16 @@ def histogram(df: DataFrame, column: str, bins: int = 12) -> DataFrame:
 
 def box(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, low, q25, q50, q75, high): five numbers with whiskers at the last values inside 1.5 IQR."""
-    q = df.agg(*[F.percentile(X.finite(df, n), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for n in names]).first()
+    found = exact_quantiles(df, [X.finite(df, n) for n in names], [0.25, 0.5, 0.75])
     cells = []
-    for n, (a, m, b) in zip(names, q, strict=True):
+    for n, f in zip(names, found, strict=True):
+        if f["quantiles"] is None:
+            continue
+        a, m, b = f["quantiles"]
         x = X.finite(df, n)
         cells.append(F.struct(F.lit(n).alias("column"), F.min(F.when(x >= a - 1.5 * (b - a), x)).alias("low"), F.lit(a).alias("q25"), F.lit(m).alias("q50"), F.lit(b).alias("q75"), F.max(F.when(x <= b + 1.5 * (b - a), x)).alias("high")))
+    if not cells:
+        return df.sparkSession.createDataFrame([], "column string, low double, q25 double, q50 double, q75 double, high double")
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 

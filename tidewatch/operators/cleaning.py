@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import expressions as X
 from . import profile as P
+from .ranks import exact_quantiles
 
 PLAN_VERSION = 1
 
@@ -21,12 +22,15 @@ def infer_plan(df: DataFrame) -> dict:
     clean = df.dropDuplicates() if twice else df
     gaps = {r["column"]: r["missing_count"] for r in P.missing_counts(clean).collect()}
     wanted = [f for f in df.schema if gaps[f.name]]
-    cells = []
-    for k, f in enumerate(wanted):
-        c = F.col(f"`{f.name}`")
-        fill = F.percentile(X.finite(df, f.name), 0.5) if isinstance(f.dataType, T.NumericType) else F.mode(c, True)
-        cells.append(fill.cast("string").alias(str(k)))
-    row = clean.agg(*cells).first() if cells else []
+    numbers = [f.name for f in wanted if isinstance(f.dataType, T.NumericType)]
+    others = [f.name for f in wanted if f.name not in numbers]
+    middle = exact_quantiles(clean, [X.finite(df, n) for n in numbers], [0.5]) if numbers else []
+    fills = {n: str(m["quantiles"][0]) if m["quantiles"] else None for n, m in zip(numbers, middle, strict=True)}
+    # among equally frequent values the smallest in the column's own order
+    for n in others:
+        best = clean.where(F.col(f"`{n}`").isNotNull()).groupBy(F.col(f"`{n}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").select(F.col("v").cast("string")).first()
+        fills[n] = best[0] if best else None
+    row = [fills[f.name] for f in wanted]
     actions = []
     if twice:
         actions.append({"id": "drop_duplicates", "type": "drop_duplicates", "column": None, "strategy": "exact", "fill_value": None, "affected": twice, "risk": "low", "description": f"Remove {twice} duplicate rows."})

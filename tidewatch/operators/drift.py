@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import expressions as X
 from ..functions import special as S
 from .bivariate import chi_square
+from .ranks import cumulative, exact_quantiles
 
 SEVERITIES = ("unknown", "stable", "minor", "moderate", "severe")
 PSI, GAPS, DISTANCE, JENSEN = (0.10, 0.25, 0.50), (2.0, 5.0, 15.0), (0.10, 0.25, 0.50), (0.05, 0.10, 0.25)
@@ -47,7 +48,8 @@ def categories(reference: DataFrame, current: DataFrame, column: str) -> DataFra
 def psi_numeric(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """(psi) over the reference's distinct deciles; null below ten values or three edges."""
     x = X.finite(reference, column)
-    n, q = reference.agg(F.count(x), F.percentile(x, F.array(*[F.lit(k / 10) for k in range(11)]))).first()
+    found = exact_quantiles(reference, [x], [k / 10 for k in range(11)])[0]
+    n, q = found["n"], found["quantiles"]
     edges = sorted(set(q or []))
     if n < 10 or len(edges) < 3:
         return reference.sparkSession.createDataFrame([(None,)], "psi double")
@@ -64,11 +66,11 @@ def psi_numeric(reference: DataFrame, current: DataFrame, column: str) -> DataFr
 
 def ecdf_distances(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """(n_ref, n_cur, ks, wasserstein) by one pass over the distinct values of both sides."""
-    freq = sides(reference, current, column).groupBy("x").agg(F.sum(1 - F.col("side")).alias("r"), F.sum("side").alias("c"))
-    order, whole = Window.orderBy("x"), Window.partitionBy()
-    steps = freq.select(
-        F.abs(F.try_divide(F.sum("r").over(order), F.sum("r").over(whole)) - F.try_divide(F.sum("c").over(order), F.sum("c").over(whole))).alias("gap"), (F.lead("x").over(order) - F.col("x")).alias("width"), "r", "c"
-    )
+    both = sides(reference, current, column)
+    total = both.agg(F.sum(1 - F.col("side")), F.sum("side")).first()
+    steps = cumulative(both, "x", {"r": F.sum(1 - F.col("side")), "c": F.sum("side")})
+    share = lambda c, n: F.col(f"upto_{c}") / F.lit(float(n)) if n else F.lit(None).cast("double")
+    steps = steps.select(F.abs(share("r", total[0]) - share("c", total[1])).alias("gap"), (F.col("next") - F.col("x")).alias("width"), "r", "c")
     return steps.agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"), F.round(F.max("gap"), 6).alias("ks"), F.round(F.sum(F.col("gap") * F.col("width")), 6).alias("wasserstein"))
 
 
@@ -158,7 +160,7 @@ def numeric_drift(reference: DataFrame, current: DataFrame, column: str, kind: s
     psi = psi_numeric(reference, current, column).first()[0]
     d = ecdf_distances(reference, current, column).first()
     m = side_moments(reference, current, column).first()
-    quart = reference.agg(F.percentile(X.finite(reference, column), F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    quart = exact_quantiles(reference, [X.finite(reference, column)], [0.25, 0.75])[0]["quantiles"]
     iqr = quart[1] - quart[0] if quart else 0.0
     scale = iqr or m["ref_std"] or max(abs(m["ref_mean"] or 0.0), 1.0)
     far = d["wasserstein"] / scale if d["wasserstein"] is not None else None
@@ -174,14 +176,15 @@ def numeric_drift(reference: DataFrame, current: DataFrame, column: str, kind: s
 
 def categorical_drift(reference: DataFrame, current: DataFrame, column: str) -> dict:
     d = categorical_distances(reference, current, column).first()
-    changes = category_changes(reference, current, column).orderBy("category").collect()
+    changes = category_changes(reference, current, column)
+    first = lambda change: [r[0] for r in changes.where(F.col("change") == change).orderBy("category").limit(10).collect()]
     chi = chi_square_drift(reference, current, column)
     significant = chi["p_value"] is not None and chi["p_value"] < 0.01
     found = worst(grade(d["psi"], PSI), grade(d["jensen_shannon"], JENSEN), "minor" if significant else "stable")
     return {
         "column": column, "type": "categorical", "available": True, "psi": d["psi"], "jensen_shannon_distance": d["jensen_shannon"], "chi2_statistic": chi["chi2"], "chi2_p_value": chi["p_value"],
-        "chi2_dof": chi["dof"], "chi2_significant": significant, "n_categories": d["n_categories"], "new_categories": [r[0] for r in changes if r[1] == "new"][:10],
-        "missing_categories": [r[0] for r in changes if r[1] == "missing"][:10], "drift_severity": found,
+        "chi2_dof": chi["dof"], "chi2_significant": significant, "n_categories": d["n_categories"], "new_categories": first("new"),
+        "missing_categories": first("missing"), "drift_severity": found,
     }
 
 

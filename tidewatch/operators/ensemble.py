@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .ranks import exact_quantiles
 from .sketches import reservoir
 
 #: Rows that a model is fitted on at most, and columns that take part at most.
@@ -18,8 +19,9 @@ Scorer = Callable[[np.ndarray], np.ndarray]
 
 def standardised(df: DataFrame, names: list[str], keys: list[str], max_columns: int = COLUMNS) -> tuple[DataFrame, list[str]]:
     """(keys and array `x`; names used): finite values with medians for gaps, shifted and scaled; constant and empty columns are left out."""
-    aggs = [F.struct(F.percentile(X.finite(df, n), 0.5), F.avg(X.finite(df, n)), F.stddev_pop(X.finite(df, n)), F.count(X.finite(df, n))).alias(str(k)) for k, n in enumerate(names)]
-    facts, rows = (df.agg(*aggs).first(), df.count()) if names else ([], 0)
+    found = exact_quantiles(df, [X.finite(df, n) for n in names], [0.5], [F.avg("x").alias("mean"), F.stddev_pop("x").alias("spread")]) if names else []
+    facts = [(f["quantiles"] and f["quantiles"][0], f.get("mean"), f.get("spread"), f["n"]) for f in found]
+    rows = df.count() if names else 0
     parts, used = [], []
     for (median, mean, spread, filled), n in zip(facts, names, strict=True):
         if filled and spread and len(used) < max_columns:
@@ -173,14 +175,14 @@ def detector_scores(df: DataFrame, names: list[str], keys: list[str], detectors:
     return frame.mapInPandas(score, schema), used
 
 
-def ensemble(df: DataFrame, names: list[str], keys: list[str], contamination: float = 0.05, detectors: tuple[str, ...] = tuple(SCORERS), top_k: int = 25) -> DataFrame:
+def ensemble(df: DataFrame, names: list[str], keys: list[str], contamination: float = 0.05, detectors: tuple[str, ...] = tuple(SCORERS), top_k: int = 25, sample_rows: int = SAMPLE) -> DataFrame:
     """(keys, scores, score, votes, consensus, drivers) of the top_k rows by mean score.
 
     Each detector's score is scaled to 0..1 by its range. A detector votes for the rows at or above its own
     (1 - contamination) quantile; consensus is a majority of votes. drivers are the three columns whose standardised
     values lie farthest out. Missing values count as the median; without a usable column there are no rows.
     """
-    scored, used = detector_scores(df, names, keys, detectors)
+    scored, used = detector_scores(df, names, keys, detectors, sample_rows)
     aggs = [F.struct(F.min(n), F.max(n), F.percentile_approx(n, 1 - contamination, 10_000)).alias(n) for n in detectors]
     ends = scored.agg(*aggs).first()
     unit, votes = [], F.lit(0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from . import profile as P
+from .ranks import exact_quantiles
 from .roles import name_tokens
 from .target import task_type
 
@@ -128,7 +129,7 @@ def mutual_information(df: DataFrame, feature: str, target: str, bins: int = 20)
     """(mutual_information) in nats over the contingency of the target and the feature, numbers in equal-frequency bins."""
     c = F.col(f"`{feature}`").cast("string")
     if feature in X.numeric_columns(df):
-        edges = df.agg(F.percentile_approx(X.finite(df, feature), [k / bins for k in range(1, bins)], 10_000)).first()[0] or []
+        edges = exact_quantiles(df, [X.finite(df, feature)], [k / bins for k in range(1, bins)])[0]["quantiles"] or []
         c = F.lit(0)
         for e in sorted(set(edges)):
             c = c + (X.finite(df, feature) > e).cast("int")

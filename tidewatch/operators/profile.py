@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .facts import DIRECT_COLUMNS, QUANTILES, Facts, correlation_sums, numeric_facts
+from .ranks import cells, keyed
 
-#: Above so many rows the automatic route takes approximate quantiles, whose state is bounded.
-EXACT_ROWS = 20_000_000
-QUANTILES = (0.25, 0.5, 0.75)
 CORRELATION_COLUMNS = 100
 PREVIEW_ROWS = 15
 
@@ -34,42 +33,41 @@ def duplicate_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return totals.select("rows", "distinct_rows", twice.alias("duplicate_rows"), F.coalesce(F.round(100 * twice / F.nullif("rows", F.lit(0)), 2), F.lit(0.0)).alias("duplicate_percent"))
 
 
-def numeric_summary(df: DataFrame, names: list[str] | None = None, quantiles: str = "auto", digits: int = 3) -> DataFrame:
+def numeric_summary(df: DataFrame, names: list[str] | None = None, quantiles: str = "exact", digits: int = 3) -> DataFrame:
     """One row for each numeric column: counts, moments, bias-corrected shape and quantiles of the finite values.
 
-    quantiles: `exact` interpolates linearly between order statistics and keeps one counter for each distinct value,
-    `approx` keeps a bounded sketch, `auto` chooses by the row count.
+    quantiles: `exact` interpolates linearly between order statistics at every size, `approx` reads one bounded sketch.
     """
     names = names or X.numeric_columns(df)
-    if quantiles == "auto":
-        quantiles = "exact" if df.count() <= EXACT_ROWS else "approx"
-    out = None
-    for part in X.chunks(names):
-        cells = []
-        for n in part:
-            x, c = X.finite(df, n), F.col(f"`{n}`").cast("double")
-            q = F.percentile(x, F.array(*map(F.lit, QUANTILES))) if quantiles == "exact" else F.percentile_approx(x, list(QUANTILES), 10_000)
-            r = lambda v: F.round(v, digits)
-            cells.append(
-                F.struct(
-                    F.lit(n).alias("column"),
-                    F.count(x).alias("count"),
-                    F.sum(F.when(X.missing(df, n), 1).otherwise(0)).cast("long").alias("missing"),
-                    F.sum(F.when(F.abs(c) == float("inf"), 1).otherwise(0)).cast("long").alias("infinite"),
-                    r(F.avg(x)).alias("mean"),
-                    r(F.stddev_samp(x)).alias("std"),
-                    r(F.min(x)).alias("min"),
-                    r(q[0]).alias("q25"),
-                    r(q[1]).alias("q50"),
-                    r(q[2]).alias("q75"),
-                    r(F.max(x)).alias("max"),
-                    F.round(X.corrected_skewness(x), 6).alias("skewness"),
-                    F.round(X.corrected_kurtosis(x), 6).alias("kurtosis"),
-                )
-            )
-        rows = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    spark, out = df.sparkSession, "column string, count long, missing long, infinite long, mean double, std double, min double, q25 double, q50 double, q75 double, max double, skewness double, kurtosis double"
+    if not names:
+        return spark.createDataFrame([], out)
+    if quantiles == "exact":
+        facts = numeric_facts(df, names)
+        middle = {n: facts[n]["quantiles"] or (None,) * len(QUANTILES) for n in names}
+    else:
+        x = F.col("x")
+        aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), X.corrected_skewness(x).alias("skewness"), X.corrected_kurtosis(x).alias("kurtosis"), F.percentile_approx(x, list(QUANTILES), 10_000).alias("quantiles")]
+        rows = {r["column"]: r.asDict() for r in X.unpivot(df, names, "x", as_text=False).where("x is not null").groupBy("column").agg(*aggs).collect()}
+        none = dict.fromkeys(("mean", "std", "min", "max", "skewness", "kurtosis")) | {"n": 0, "quantiles": (None,) * len(QUANTILES)}
+        facts = {n: rows.get(n, none) for n in names}
+        middle = {n: facts[n]["quantiles"] for n in names}
+    gaps = {r["column"]: r for r in _gaps(df, names).collect()}
+    rows = []
+    for n in names:
+        f, g = facts[n], gaps.get(n)
+        rows.append((n, f["n"], g["missing"] if g else 0, g["infinite"] if g else 0, f["mean"], f["std"], f["min"], *middle[n], f["max"], f["skewness"], f["kurtosis"]))
+    frame = spark.createDataFrame(rows, out)
+    short = [F.round(c, digits).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
+    return frame.select("column", "count", "missing", "infinite", *short, F.round("skewness", 6).alias("skewness"), F.round("kurtosis", 6).alias("kurtosis"))
+
+
+def _gaps(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, missing, infinite) in one scan."""
+    state = lambda n: F.when(X.missing(df, n), 1).when(F.abs(F.col(f"`{n}`").cast("double")) == float("inf"), 2).otherwise(0)
+    count = lambda v: F.sum((F.col("state") == v).cast("int")).cast("long")
+    found = cells(df, [state(n) for n in names], "state").groupBy("k").agg(count(1).alias("missing"), count(2).alias("infinite"))
+    return found.join(keyed(df.sparkSession, list(enumerate(names)), "k int, column string"), "k").select("column", "missing", "infinite")
 
 
 def frequencies(df: DataFrame, names: list[str]) -> DataFrame:
@@ -104,17 +102,24 @@ def correlations(df: DataFrame, names: list[str] | None = None, digits: int = 3)
     if len(names) > CORRELATION_COLUMNS:
         row = df.agg(*[F.count(X.finite(df, n)).alias(str(k)) for k, n in enumerate(names)]).first()
         names = [n for _, n in sorted((-row[k], n) for k, n in enumerate(names))][:CORRELATION_COLUMNS]
-    pairs, out = list(combinations(names, 2)), None
-    for k in range(0, len(pairs), 60):
-        cells = []
-        for a, b in pairs[k : k + 60]:
-            x, y = X.finite(df, a), X.finite(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            r = F.corr(F.when(both, x), F.when(both, y))
-            cells.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.round(F.when(~F.isnan(r), r), digits).alias("correlation")))
-        rows = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else df.sparkSession.createDataFrame([], "left string, right string, correlation double")
+    spark, schema = df.sparkSession, "left string, right string, correlation double"
+    if len(names) < 2:
+        return spark.createDataFrame([], schema)
+    pairs = list(combinations(names, 2))
+    if len(names) > DIRECT_COLUMNS:
+        row = df.agg(*[f(X.finite(df, n)) for n in names for f in (F.avg, F.stddev_samp)]).first()
+        _, r = correlation_sums(df, names, [m or 0.0 for m in row[::2]], [s or 1.0 for s in row[1::2]])
+        at = {n: k for k, n in enumerate(names)}
+        values = ((a, b, float(r[at[a], at[b]])) for a, b in pairs)
+        found = spark.createDataFrame([(a, b, None if v != v else v) for a, b, v in values], schema)
+        return found.withColumn("correlation", F.round("correlation", digits))
+    cells = []
+    for a, b in pairs:
+        x, y = X.finite(df, a), X.finite(df, b)
+        both = x.isNotNull() & y.isNotNull()
+        r = F.corr(F.when(both, x), F.when(both, y))
+        cells.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.round(F.when(~F.isnan(r), r), digits).alias("correlation")))
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def memory_estimate(df: DataFrame) -> int:
@@ -122,54 +127,43 @@ def memory_estimate(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def string_dates(df: DataFrame, names: list[str], leading: int = 25, ratio: float = 0.7) -> list[str]:
-    """Text columns of which enough leading non-null values parse as timestamps."""
-    found = []
-    for n in names:
-        head = df.select(F.col(f"`{n}`").cast("string").alias("v")).where("v is not null").limit(leading)
-        share = head.agg(F.avg(F.expr("CASE WHEN try_to_timestamp(v) IS NOT NULL THEN 1.0D ELSE 0.0D END"))).first()[0]
-        if share is not None and share >= ratio:
-            found.append(n)
-    return found
+def _rounded(x: float | None, digits: int) -> float | None:
+    return None if x is None or x != x else round(x, digits)
 
 
-def build_profile(df: DataFrame, top: int = 10, quantiles: str = "auto") -> dict:
+def build_profile(df: DataFrame, top: int = 10, facts: Facts | None = None) -> dict:
     """The whole profile as a dictionary: a fixed number of jobs, whatever the number of columns."""
-    rows = df.count()
-    numeric, text = X.numeric_columns(df), X.categorical_columns(df)
-    gaps = {r["column"]: r for r in missing_counts(df).collect()}
-    twice = duplicate_rows(df).first()
+    facts = facts or Facts(df, top)
+    numeric, text, columns = facts.numbers, facts.categories, facts.columns
+    twice = facts.duplicates
     summary = {}
-    if numeric:
-        for r in numeric_summary(df, numeric, quantiles if quantiles != "auto" else ("exact" if rows <= EXACT_ROWS else "approx")).collect():
-            summary[r["column"]] = {"count": r["count"], "mean": r["mean"], "std": r["std"], "min": r["min"], "25%": r["q25"], "50%": r["q50"], "75%": r["q75"], "max": r["max"], "skewness": r["skewness"], "kurtosis": r["kurtosis"]}
-    categories: dict = {n: {"unique_values": 0, "top_values": {}} for n in text}
-    if text:
-        for r in top_values(df, text, top).orderBy("column", "rank").collect():
-            categories[r["column"]]["unique_values"] = r["unique_values"]
-            categories[r["column"]]["top_values"][r["value"]] = r["n"]
-    pairs = correlations(df, numeric).collect() if len(numeric) > 1 else []
-    matrix = {n: {n: 1.0} for n in numeric} if pairs else {}
-    for r in pairs:
-        matrix.setdefault(r["left"], {})[r["right"]] = r["correlation"]
-        matrix.setdefault(r["right"], {})[r["left"]] = r["correlation"]
+    for n, f in facts.numeric.items():
+        quarter = dict(zip(("25%", "50%", "75%"), (_rounded(q, 3) for q in f["quantiles"] or (None,) * 3), strict=True))
+        plain = {k: _rounded(f[k], 3) for k in ("mean", "std", "min")}
+        summary[n] = {"count": f["n"]} | plain | quarter | {"max": _rounded(f["max"], 3), "skewness": _rounded(f["skewness"], 6), "kurtosis": _rounded(f["kurtosis"], 6)}
+    related = sorted(numeric, key=lambda n: (-facts.numeric[n]["n"], n))[:CORRELATION_COLUMNS] if len(numeric) > CORRELATION_COLUMNS else numeric
+    pairs = facts.correlations(related) if len(related) > 1 else {}
+    matrix = {n: {n: 1.0} for n in related} if pairs else {}
+    for (a, b), r in pairs.items():
+        matrix[a][b] = matrix[b][a] = _rounded(r, 3)
+    dates = X.date_columns(df) + [n for n in facts.texts if (facts.text[n]["datetime_ratio"] or 0) >= 0.7 and (facts.text[n]["numeric_ratio"] or 0) < 0.5]
     return {
-        "shape": {"rows": rows, "columns": len(df.columns)},
+        "shape": {"rows": facts.rows, "columns": len(df.columns)},
         "columns": df.columns,
         "dtypes": dict(df.dtypes),
         "numeric_columns": numeric,
         "categorical_columns": text,
-        "date_columns": X.date_columns(df) + string_dates(df, [n for n in text if dict(df.dtypes)[n] == "string"]),
-        "missing_counts": {n: gaps[n]["missing_count"] for n in df.columns},
-        "missing_percent": {n: gaps[n]["missing_percent"] for n in df.columns},
+        "date_columns": dates,
+        "missing_counts": {n: columns[n]["missing"] for n in df.columns},
+        "missing_percent": {n: facts.missing_percent(n) for n in df.columns},
         "duplicate_rows": twice["duplicate_rows"],
         "duplicate_percent": twice["duplicate_percent"],
         "duplicate_metadata": {"method": "exact", "sampled": False},
         "memory_usage_mb": round(memory_estimate(df) / 1e6, 3),
         "numeric_summary": summary,
-        "numeric_summary_metadata": {"quantiles": "exact" if rows <= EXACT_ROWS else "approx"},
-        "categorical_summary": categories,
+        "numeric_summary_metadata": {"quantiles": "exact"},
+        "categorical_summary": {n: {"unique_values": columns[n]["distinct"], "top_values": columns[n]["top"]} for n in text},
         "correlations": matrix,
-        "correlation_metadata": {"columns": min(len(numeric), CORRELATION_COLUMNS)},
+        "correlation_metadata": {"columns": len(related)},
         "preview": [r.asDict() for r in df.limit(PREVIEW_ROWS).collect()],
     }

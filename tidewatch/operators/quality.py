@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import expressions as X
 from . import profile as P
+from .facts import Facts
+from .ranks import cells, keyed
 from .roles import NAME_TOKENS, columns_with_role, infer_roles, name_tokens
 
 MAX_COLUMNS, MISSINGNESS_COLUMNS, TOP_MISSINGNESS = 100, 25, 30
@@ -43,33 +45,36 @@ def quasi_constant(df: DataFrame, names: list[str] | None = None, ratio: float =
     )
 
 
-def duplicate_columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(left, right): columns equal in every row, nulls included. Sums of row hashes find candidates, which are confirmed."""
-    names = names or df.columns
-    kinds = dict(df.dtypes)
-    row = df.agg(*[F.sum(F.xxhash64(F.col(f"`{n}`"), F.xxhash64(*[F.col(f"`{m}`") for m in names])).cast("decimal(38,0)")).alias(str(k)) for k, n in enumerate(names)]).first()
-    pairs = [(a, b) for (i, a), (j, b) in combinations(enumerate(names), 2) if row[i] == row[j] and kinds[a] == kinds[b]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "left string, right string")
-    sure = df.agg(*[F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias(str(k)) for k, (a, b) in enumerate(pairs)]).first()
-    return df.sparkSession.createDataFrame([p for k, p in enumerate(pairs) if sure[k]], "left string, right string")
+def duplicate_columns(df: DataFrame, names: list[str] | None = None, facts: Facts | None = None) -> DataFrame:
+    """(left, right): columns equal in every row, nulls included. Fingerprints of their values find candidates, which are confirmed."""
+    names, schema = names or df.columns, "left string, right string"
+    facts = facts or Facts(df.select(*[F.col(f"`{n}`") for n in names]))
+    kinds, like = dict(df.dtypes), {}
+    for n in names:
+        own = facts.columns[n]
+        like.setdefault((kinds[n], own["fingerprint"], own["distinct"], own["missing"]), []).append(n)
+    pairs = [p for group in like.values() for p in combinations(group, 2)]
+    sure = [df.agg(*[F.bool_and(F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).alias(str(k)) for k, (a, b) in enumerate(pairs[lo : lo + 100])]).first() for lo in range(0, len(pairs), 100)]
+    order = {n: k for k, n in enumerate(names)}
+    found = [p for p, yes in zip(pairs, (y for row in sure for y in row), strict=True) if yes]
+    return df.sparkSession.createDataFrame(sorted(found, key=lambda p: (order[p[0]], order[p[1]])), schema)
 
 
 def coercion_ratios(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, numeric_ratio, datetime_ratio) of the non-blank values of text columns."""
-    cells = []
+    parts = []
     for n in names or _texts(df):
         v = F.trim(F.col(f"`{n}`"))
         given = v.isNotNull() & (v != "")
         number = F.expr(f"try_cast(regexp_replace(trim(`{n}`), '[,$€£₹%]', '') as double) is not null")
-        cells.append(
+        parts.append(
             F.struct(
                 F.lit(n).alias("column"),
                 F.round(F.avg(F.when(given, number.cast("int"))), 4).alias("numeric_ratio"),
                 F.round(F.avg(F.when(given, F.expr(f"try_to_timestamp(trim(`{n}`)) is not null").cast("int"))), 4).alias("datetime_ratio"),
             )
         )
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return df.agg(F.array(*parts).alias("cells")).select(F.inline("cells"))
 
 
 def coercion_candidates(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -89,8 +94,8 @@ def category_variants(df: DataFrame, names: list[str], most: int = 200) -> DataF
 
 def blank_strings(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, blank_count) of text columns with blank values."""
-    cells = [F.struct(F.lit(n).alias("column"), F.sum(F.when(F.trim(F.col(f"`{n}`")) == "", 1).otherwise(0)).cast("long").alias("blank_count")) for n in names or _texts(df)]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).where("blank_count > 0")
+    parts = [F.struct(F.lit(n).alias("column"), F.sum(F.when(F.trim(F.col(f"`{n}`")) == "", 1).otherwise(0)).cast("long").alias("blank_count")) for n in names or _texts(df)]
+    return df.agg(F.array(*parts).alias("cells")).select(F.inline("cells")).where("blank_count > 0")
 
 
 def infinities(df: DataFrame) -> DataFrame:
@@ -98,8 +103,8 @@ def infinities(df: DataFrame) -> DataFrame:
     names = [f.name for f in df.schema if X.is_fractional(f.dataType)]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, infinite_count long")
-    cells = [F.struct(F.lit(n).alias("column"), F.sum(F.when(F.abs(F.col(f"`{n}`")) == float("inf"), 1).otherwise(0)).cast("long").alias("infinite_count")) for n in names]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).where("infinite_count > 0")
+    far = cells(df, [F.abs(F.col(f"`{n}`").cast("double")) for n in names]).where(F.col("x") == float("inf")).groupBy("k").agg(F.count(F.lit(1)).alias("infinite_count"))
+    return far.join(keyed(df.sparkSession, list(enumerate(names)), "k int, column string"), "k").select("column", "infinite_count")
 
 
 def mixed_types(df: DataFrame) -> DataFrame:
@@ -114,47 +119,68 @@ def mixed_types(df: DataFrame) -> DataFrame:
 
 
 def co_missing(df: DataFrame, names: list[str] | None = None, jaccard: float = 0.7, least: int = 3) -> DataFrame:
-    """(left, right, both, jaccard) of columns that are missing together; all pairs in one pass."""
+    """(left, right, both, jaccard) of columns that are missing together: each row adds the pairs among its own gaps."""
     names = (names or df.columns)[:MISSINGNESS_COLUMNS]
-    cells = []
-    for a, b in combinations(names, 2):
-        x, y = X.missing(df, a), X.missing(df, b)
-        both, some = F.sum((x & y).cast("int")), F.sum((x | y).cast("int"))
-        cells.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), both.cast("long").alias("both"), F.round(both / F.nullif(some, F.lit(0)), 6).alias("jaccard")))
-    out = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    return out.where((F.col("both") >= least) & (F.col("jaccard") >= jaccard)).orderBy(F.desc("jaccard"), F.desc("both"), "left", "right").limit(TOP_MISSINGNESS)
-
-
-def run_quality(df: DataFrame, max_columns: int = MAX_COLUMNS, roles: dict | None = None) -> dict:
-    """All checks as one dictionary; mixed types within a column cannot occur in a typed table."""
+    gaps = F.filter(F.array(*[F.when(X.missing(df, n), F.lit(k)) for k, n in enumerate(names)]), lambda k: k.isNotNull())
+    # rows with the same gaps are one row of this table, of which there are far fewer than rows
+    sets = df.select(gaps.alias("gaps")).where("size(gaps) > 0").groupBy("gaps").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.flatten(F.transform("gaps", lambda a: F.transform(F.filter("gaps", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    counts = {(r["a"], r["b"]): r["n"] for r in sets.select("n", F.inline(pairs)).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
+    rows = []
+    for (a, b), both in counts.items():
+        share = both / (counts[a, a] + counts[b, b] - both)
+        if a != b and both >= least and share >= jaccard:
+            rows.append((names[a], names[b], both, round(share, 6)))
+    rows = sorted(rows, key=lambda r: (-r[3], -r[2], r[0], r[1]))[:TOP_MISSINGNESS]
+    return df.sparkSession.createDataFrame(rows, "left string, right string, both long, jaccard double")
+
+
+def run_quality(df: DataFrame, max_columns: int = MAX_COLUMNS, roles: dict | None = None, facts: Facts | None = None) -> dict:
+    """All checks as one dictionary over the first max_columns columns; most follow from the shared facts.
+
+    Mixed types within a column can occur in variant columns only.
+    """
+    total = len(df.columns)
     names = df.columns[:max_columns]
-    df = df.select(*[F.col(f"`{n}`") for n in names])
-    roles = roles or infer_roles(df)
+    if total > max_columns or facts is None:
+        df = df.select(*[F.col(f"`{n}`") for n in names])
+        facts = Facts(df)
+    roles = roles or infer_roles(df, facts)
     ids = [n for n in columns_with_role(roles, "id_like") if n in names]
-    texts = [n for n in _texts(df) if "long_text" not in roles[n]["roles"]]
+    columns, rows = facts.columns, facts.rows
+    texts = [n for n in facts.texts if "long_text" not in roles[n]["roles"] and 2 <= columns[n]["distinct"] <= 200]
     listed = lambda frame: [r.asDict() for r in frame.collect()]
-    free = [n for n in _texts(df) if not name_tokens(n) & NAME_TOKENS["id_like"]]
+    constant, coercion = [], []
+    for n in names:
+        c = columns[n]
+        share = c["best_n"] / c["filled"] if c["filled"] else 0.0
+        if c["filled"] >= 10 and c["distinct"] > 1 and share >= 0.95:
+            constant.append({"column": n, "top_value": c["best"], "top_ratio": round(share, 6), "severity": "medium" if share >= 0.99 else "low"})
+    for n in facts.texts:
+        number, stamp = (facts.text[n][k] or 0.0 for k in ("numeric_ratio", "datetime_ratio"))
+        kind = "numeric" if number >= 0.95 else "datetime" if stamp >= 0.95 and number < 0.5 else None
+        if kind and not name_tokens(n) & NAME_TOKENS["id_like"]:
+            coercion.append({"column": n, "suggested": kind})
     found = {
-        "primary_key_candidates": [r | {"confidence": "high" if r["column"] in ids else "medium"} for r in listed(primary_keys(df))],
-        "identifier_duplicates": listed(duplicate_identifiers(df, ids)) if ids else [],
-        "quasi_constant_columns": listed(quasi_constant(df)),
-        "duplicate_columns": listed(duplicate_columns(df)),
-        "coercion_candidates": listed(coercion_candidates(df, free)) if free else [],
+        "primary_key_candidates": [{"column": n, "confidence": "high" if n in ids else "medium"} for n in names if rows and columns[n]["filled"] == columns[n]["distinct"] == rows],
+        "identifier_duplicates": [{"column": n, "duplicated_values": columns[n]["duplicated_values"], "affected_rows": columns[n]["affected_rows"]} for n in ids if columns[n]["duplicated_values"]],
+        "quasi_constant_columns": constant,
+        "duplicate_columns": listed(duplicate_columns(df, names, facts)),
+        "coercion_candidates": coercion,
         "category_normalisation": listed(category_variants(df, texts)) if texts else [],
-        "blank_strings": listed(blank_strings(df)) if _texts(df) else [],
+        "blank_strings": [{"column": n, "blank_count": facts.text[n]["blank_count"]} for n in facts.texts if facts.text[n]["blank_count"]],
         "infinite_values": listed(infinities(df)),
         "mixed_object_types": listed(mixed_types(df)),
-        "missingness_relationships": listed(co_missing(df)) if len(names) > 1 else [],
+        "missingness_relationships": listed(co_missing(df)) if sum(columns[n]["missing"] > 0 for n in names) > 1 else [],
     }
-    twice = P.duplicate_rows(df).first()
     return {
         "available": True,
-        "rows": twice["rows"],
+        "rows": rows,
         "columns": len(names),
         "columns_checked": names,
-        "truncated_columns": max(0, len(roles) - len(names)),
+        "truncated_columns": total - len(names),
         "max_sample_rows": None,
-        "duplicate_rows": twice["duplicate_rows"],
+        "duplicate_rows": facts.duplicates["duplicate_rows"],
         "summary": {k: len(v) for k, v in found.items()},
         **found,
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as X
-from . import profile as P
+from .facts import Facts
 
 #: Shapes of semantic types, portable between regular expression dialects.
 SEMANTIC = {
@@ -20,18 +20,18 @@ SEMANTIC = {
     "phone": r"^\+?[0-9][0-9 ().-]{6,18}[0-9]$",
     "percentage": r"^[+-]?[0-9]+(\.[0-9]+)?\s*%$",
     "currency": r"^[$€£₹]\s*[0-9][0-9,]*(\.[0-9]+)?$",
-    "json": r"^\s*[{\[](.|\n)*[}\]]\s*$",
+    "json": r"^\s*[{\[](?s:.*)[}\]]\s*$",
     "boolean_token": r"^(?i)(true|false|yes|no|y|n|t|f|0|1)$",
 }
-SEMANTIC_RATIO, SEMANTIC_ROWS = 0.7, 100
+SEMANTIC_RATIO = 0.7
 SEMANTIC_ROLE = {"email": "contact_like", "phone": "contact_like", "url": "url_like", "uuid": "id_like", "ip_address": "network_like", "json": "json_like", "percentage": "percentage_like", "currency": "currency_like", "boolean_token": "boolean_like"}
 
 #: Name tokens of roles.
 NAME_TOKENS = {
     "id_like": {"id", "uuid", "guid", "key", "identifier", "pk"},
     "time_like": {"date", "time", "timestamp", "datetime", "year", "month", "day", "ts", "created", "updated"},
-    "sequence_like": {"index", "row", "seq", "sequence", "number", "linenumber"},
-    "price_like": {"price", "amount", "cost", "revenue", "total", "balance", "acctbal", "totalprice", "extendedprice", "retailprice"},
+    "sequence_like": {"index", "row", "seq", "sequence", "number"},
+    "price_like": {"price", "amount", "cost", "revenue", "total", "balance"},
     "quantity_like": {"quantity", "qty", "count", "volume", "size"},
     "rate_like": {"rate", "ratio", "percent", "pct", "discount", "tax"},
     "geo_like": {"country", "city", "state", "region", "nation", "zip", "lat", "lon", "latitude", "longitude"},
@@ -54,16 +54,15 @@ def semantic_ratios(df: DataFrame, names: list[str]) -> DataFrame:
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def semantic_types(df: DataFrame, names: list[str], leading: int | None = SEMANTIC_ROWS) -> dict[str, tuple[str | None, float]]:
-    """The best type of each text column, if it reaches SEMANTIC_RATIO; over `leading` rows, or over all if None."""
-    if not names:
-        return {}
-    rows = semantic_ratios(df.limit(leading) if leading else df, names).collect()
-    best: dict[str, tuple[str | None, float]] = {n: (None, 0.0) for n in names}
-    for r in rows:
-        if r["ratio"] is not None and r["ratio"] >= SEMANTIC_RATIO and r["ratio"] > best[r["column"]][1]:
-            best[r["column"]] = (r["type"], r["ratio"])
-    return best
+def semantic_types(df: DataFrame, names: list[str], facts: Facts | None = None) -> dict[str, tuple[str | None, float]]:
+    """The best type of each text column over all its values, if it reaches SEMANTIC_RATIO."""
+    facts = facts or Facts(df.select(*[F.col(f"`{n}`") for n in names]))
+    out: dict[str, tuple[str | None, float]] = {}
+    for n in names:
+        ratios = [(facts.text[n][f"is_{kind}"] or 0.0, kind) for kind in SEMANTIC]
+        best, kind = max(ratios, key=lambda r: r[0])
+        out[n] = (kind, best) if best >= SEMANTIC_RATIO else (None, 0.0)
+    return out
 
 
 def name_tokens(name: str) -> set[str]:
@@ -78,25 +77,19 @@ def missingness_label(percent: float) -> str:
     return "low" if percent > 0 else "complete"
 
 
-def infer_roles(df: DataFrame) -> dict[str, dict]:
+def infer_roles(df: DataFrame, facts: Facts | None = None) -> dict[str, dict]:
     """Roles of every column from its name, type, cardinality, lengths, missing share and semantic type.
 
-    Three jobs for any number of columns: missing cells, distinct values by one frequency table, text lengths.
+    Two jobs for any number of columns, or none if the facts are at hand: frequencies and text shapes, both over all rows.
     """
-    rows = df.count()
-    gaps = {r["column"]: r for r in P.missing_counts(df).collect()}
-    counts = {r["column"]: r for r in P.distinct_counts(df).collect()}
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    lengths = {}
-    if texts:
-        row = df.agg(*[x for k, n in enumerate(texts) for x in (F.avg(F.length(f"`{n}`")).alias(f"a{k}"), F.max(F.length(f"`{n}`")).alias(f"m{k}"))]).first()
-        lengths = {n: (row[f"a{k}"] or 0, row[f"m{k}"] or 0) for k, n in enumerate(texts)}
-    semantics = semantic_types(df, texts)
+    facts = facts or Facts(df)
+    texts = facts.texts
+    lengths = {n: (facts.text[n]["mean_length"] or 0, facts.text[n]["max_length"] or 0) for n in texts}
+    semantics = semantic_types(df, texts, facts) if texts else {}
     out = {}
     for field in df.schema:
         n, kind = field.name, field.dataType
-        distinct = counts[n]["distinct_values"] if n in counts else 0
-        filled = counts[n]["non_null"] if n in counts else 0
+        distinct, filled = facts.columns[n]["distinct"], facts.columns[n]["filled"]
         ratio = distinct / filled if filled else 0.0
         numeric = isinstance(kind, (T.NumericType, T.BooleanType))
         roles, tokens = [], name_tokens(n)
@@ -135,7 +128,7 @@ def infer_roles(df: DataFrame) -> dict[str, dict]:
             roles.append("target_candidate")
         if numeric and distinct > 10:
             roles.append("regression_target_candidate")
-        percent = gaps[n]["missing_percent"]
+        percent = facts.missing_percent(n)
         out[n] = {
             "roles": roles,
             "dtype": kind.simpleString(),
@@ -148,7 +141,7 @@ def infer_roles(df: DataFrame) -> dict[str, dict]:
             "is_categorical": "categorical" in roles,
             "semantic_type": semantic,
             "semantic_confidence": confidence,
-            "semantic_sample_size": min(rows, SEMANTIC_ROWS),
+            "semantic_sample_size": filled,
         }
     return out
 

@@ -63,13 +63,27 @@ def sample_rows(df: DataFrame, order: list[str], target: int, how: str = "strati
 
 
 def split_by_date(df: DataFrame, date_column: str, ratio: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(older, newer): rows up to the ratio's quantile of the parsed date, and the rest; ties stay together with the older."""
-    ts = F.expr(f"try_to_timestamp(cast(`{date_column}` as string))")
-    dated = df.withColumn("_ts", ts).where("_ts is not null")
-    row = dated.agg(F.count(F.lit(1)), F.percentile_approx("_ts", ratio, 100_000)).first()
-    if row[0] < 20:
+    """(older, newer): the first int(n * ratio) of the n rows with a date, in its order, and the rest.
+
+    Only rows of the one timestamp at the cut are ordered further, by a hash of the row; rows without a date are in neither.
+    """
+    from .ranks import exact_quantiles
+
+    dated = df.withColumn("_ts", F.unix_micros(F.expr(f"try_to_timestamp(cast(`{date_column}` as string))"))).where("_ts is not null")
+    rows = dated.count()
+    cut = int(rows * ratio)
+    if min(cut, rows - cut) < 10:
         raise ValueError("fewer than 10 dated rows on a side")
-    return dated.where(F.col("_ts") <= F.lit(row[1])).drop("_ts"), dated.where(F.col("_ts") > F.lit(row[1])).drop("_ts")
+    # microseconds of this millennium and the next are exact as doubles
+    edge = int(exact_quantiles(dated, [F.col("_ts").cast("double")], [cut / max(1, rows - 1)])[0]["quantiles"][0])
+    before = dated.where(F.col("_ts") < edge).count()
+    if not before <= cut < before + dated.where(F.col("_ts") == edge).count():
+        edge = int(dated.where(F.col("_ts") > edge).agg(F.min("_ts")).first()[0])
+        before = dated.where(F.col("_ts") < edge).count()
+    tied = dated.where(F.col("_ts") == edge).withColumn("_at", F.row_number().over(Window.partitionBy("_ts").orderBy(F.xxhash64(*[F.col(f"`{n}`") for n in df.columns]))))
+    older = dated.where(F.col("_ts") < edge).drop("_ts").unionByName(tied.where(F.col("_at") <= cut - before).drop("_ts", "_at"))
+    newer = dated.where(F.col("_ts") > edge).drop("_ts").unionByName(tied.where(F.col("_at") > cut - before).drop("_ts", "_at"))
+    return older, newer
 
 
 def even_columns(names: list[str], target: int, keep: str | None = None) -> list[str]:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from . import profile as P
+from .facts import Facts
+from .ranks import cells, exact_quantiles, keyed
 
 SENSITIVE = {"gender", "sex", "race", "ethnicity", "religion", "age", "nationality", "disability", "marital", "caste", "orientation"}
 
@@ -19,43 +21,42 @@ HEALTH = ((90, "Excellent"), (75, "Good"), (60, "Fair"), (40, "Poor"))
 READINESS = ((85, "Ready"), (70, "Mostly ready"), (50, "Needs work"))
 
 
-def iqr_bounds(df: DataFrame, names: list[str], exact: bool = True) -> dict[str, tuple[float, float]]:
+def iqr_bounds(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """(low, high) fences at 1.5 interquartile ranges of each column; columns without values are left out."""
-    q = (lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))) if exact else (lambda x: F.percentile_approx(x, [0.25, 0.75], 10_000))
-    out = {}
-    for part in X.chunks(names):
-        row = df.agg(*[q(X.finite(df, n)).alias(str(k)) for k, n in enumerate(part)]).first()
-        for k, n in enumerate(part):
-            if row[k] is not None:
-                lo, hi = row[k]
-                out[n] = (lo - 1.5 * (hi - lo), hi + 1.5 * (hi - lo))
-    return out
-
-
-def iqr_outliers(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(column, values, outliers, outlier_percent) by 1.5 interquartile ranges."""
-    fences = iqr_bounds(df, names or X.numeric_columns(df))
-    cells = []
-    for n, (lo, hi) in fences.items():
-        x = X.finite(df, n)
-        hits = F.sum(F.when((x < lo) | (x > hi), 1).otherwise(0)).cast("long")
-        cells.append(F.struct(F.lit(n).alias("column"), F.count(x).alias("values"), hits.alias("outliers"), F.round(100 * hits / F.count(x), 4).alias("outlier_percent")))
-    if not cells:
+    found = exact_quantiles(df, [X.finite(df, n) for n in names], [0.25, 0.75])
+    return {n: fences(f["quantiles"]) for n, f in zip(names, found, strict=True) if f["quantiles"]}
+
+
+def fences(quarters: list[float]) -> tuple[float, float]:
+    lo, hi = quarters[0], quarters[-1]
+    return lo - 1.5 * (hi - lo), hi + 1.5 * (hi - lo)
+
+
+def iqr_outliers(df: DataFrame, names: list[str] | None = None, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(column, values, outliers, outlier_percent) by 1.5 interquartile ranges; the scan takes the fences that are given."""
+    bounds = iqr_bounds(df, names or X.numeric_columns(df)) if bounds is None else bounds
+    if not bounds:
         return df.sparkSession.createDataFrame([], "column string, values long, outliers long, outlier_percent double")
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    names = list(bounds)
+    table = keyed(df.sparkSession, [(k, n, *map(float, bounds[n])) for k, n in enumerate(names)], "k int, column string, lo double, hi double")
+    far = (F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))
+    counts = cells(df, [X.finite(df, n) for n in names]).join(table, "k").groupBy("column").agg(F.count("x").alias("values"), F.sum(far.cast("int")).cast("long").alias("outliers"))
+    return counts.withColumn("outlier_percent", F.round(100 * F.col("outliers") / F.col("values"), 4))
 
 
-def health_score(df: DataFrame, profile: dict | None = None) -> dict:
+def health_score(df: DataFrame, profile: dict | None = None, facts: Facts | None = None) -> dict:
     """Weighted completeness, consistency, uniqueness and outlier safety, plus ten points that every table has."""
-    profile = profile or P.build_profile(df)
+    facts = facts or Facts(df)
+    profile = profile or P.build_profile(df, facts=facts)
     rows, columns = profile["shape"]["rows"], profile["shape"]["columns"]
     cells = rows * columns
     gaps = 100 * sum(profile["missing_counts"].values()) / cells if cells else 0.0
     twice = profile["duplicate_percent"]
-    hits = iqr_outliers(df, profile["numeric_columns"]).collect() if profile["numeric_columns"] else []
+    bounds = {n: fences(facts.numeric[n]["quantiles"]) for n in profile["numeric_columns"] if facts.numeric[n]["quantiles"]}
+    hits = iqr_outliers(df, bounds=bounds).collect() if bounds else []
     values = sum(r["values"] for r in hits)
     outliers = 100 * sum(r["outliers"] for r in hits) / values if values else 0.0
-    distinct = {r["column"]: r["distinct_values"] for r in P.distinct_counts(df).collect()}
+    distinct = {n: facts.columns[n]["distinct"] for n in profile["columns"]}
     constant = [n for n in profile["columns"] if distinct.get(n, 0) <= 1]
     crowded = [n for n in profile["categorical_columns"] if rows and distinct.get(n, 0) / rows > 0.9]
     consistency = max(0.0, 100 - 100 * (len(constant) + len(crowded)) / columns) if columns else 0.0

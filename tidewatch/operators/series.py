@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as X
+from .ranks import cumulative, exact_quantiles
 from .roles import name_tokens
 
 #: A whole-series algorithm gets at most so many points; longer series are averaged into as many tiles.
@@ -38,20 +39,21 @@ def date_scores(df: DataFrame, order: list[str]) -> list[tuple[str, float]]:
         w = Window.orderBy(*[f"_o{k}" for k in range(len(order))])
         row = ts.withColumn("p", F.lag("t").over(w)).agg(F.avg(F.col("t").isNotNull().cast("int")), F.avg((F.col("t") >= F.col("p")).cast("int"))).first()
         if row[0] and row[0] >= 0.7:
-            named = bool(name_tokens(f.name) & {"date", "time", "ts", "timestamp", "day", "month", "year", "created", "orderdate", "shipdate"})
+            named = bool(name_tokens(f.name) & {"date", "time", "ts", "timestamp", "day", "month", "year", "created"})
             out.append((f.name, round(0.6 * row[0] + 0.3 * (row[1] or 0) + 0.1 * named, 4)))
     return sorted(out, key=lambda r: (-r[1], r[0]))
 
 
 def gap_summary(df: DataFrame, ts: str) -> DataFrame:
     """(n, median_gap_seconds, frequency) between distinct timestamps, from the frequency table of timestamps."""
-    at = df.select(F.unix_micros(F.col(f"`{ts}`").cast("timestamp")).alias("u")).where("u is not null").distinct()
-    gaps = at.select(((F.lead("u").over(Window.orderBy("u")) - F.col("u")) / 1e6).alias("g"))
-    mid = F.percentile("g", 0.5)
-    label = F.lit("irregular")
-    for bound, name in reversed(FREQUENCIES):
-        label = F.when(mid <= bound, name).otherwise(label)
-    return gaps.agg(F.count(F.lit(1)).alias("n"), F.round(mid, 3).alias("median_gap_seconds"), label.alias("frequency"))
+    # microseconds of this millennium and the next are exact as doubles
+    at = df.select(F.unix_micros(F.col(f"`{ts}`").cast("timestamp")).cast("double").alias("u"))
+    gaps = cumulative(at, "u", {"n": F.count(F.lit(1))}).select(((F.col("next") - F.col("u")) / 1e6).alias("g"))
+    found = exact_quantiles(gaps, [F.col("g")], [0.5])[0]
+    mid = found["quantiles"][0] if found["quantiles"] else None
+    label = next((name for bound, name in FREQUENCIES if mid is not None and mid <= bound), "irregular")
+    stamps = found["n"] + 1 if found["n"] else int(at.where("u is not null").limit(1).count())
+    return df.sparkSession.createDataFrame([(stamps, mid, label)], "n long, median_gap_seconds double, frequency string").withColumn("median_gap_seconds", F.round("median_gap_seconds", 3))
 
 
 def regular_series(df: DataFrame, ts: str, value: str, grain: str = "day") -> DataFrame:
@@ -210,33 +212,44 @@ def window_means(df: DataFrame, order: list[str], value: str, windows: int = 24)
     return rows.crossJoin(F.broadcast(n)).groupBy((tile + 1).cast("long").alias("tile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_y"), 6).alias("mean"))
 
 
-def page_hinkley(means: DataFrame, delta: float = 0.5, alpha: float = 0.995, threshold: float = 8.0, clip: float = 8.0, warmup: int = 5) -> DataFrame:
-    """(updates, up, down, max_up, max_down, detected, direction): both sums of a Page-Hinkley test, folded over ordered means.
+def page_hinkley(means: DataFrame, delta: float = 0.5, alpha: float = 0.995, threshold: float = 8.0, clip: float = 8.0, warmup: int = 8) -> DataFrame:
+    """(updates, up, down, max_score, detected, direction, detected_at, sufficient) of a Page-Hinkley test folded over ordered means.
 
-    Residuals are standardised by the running mean and deviation (1 where there is no spread yet), clipped, and summed with
-    the drift delta and the forgetting factor alpha; detection latches at the threshold.
+    Missing and infinite means are passed over. From the warmup-th mean on, its distance to the mean before it, in
+    deviations of the means before it and clipped, is added to two sums with the drift delta and the forgetting factor
+    alpha, neither of which falls below 0. Without spread so far a millionth of the mean is the scale. The first sum to
+    reach the threshold sets direction and detected_at for good.
     """
-    ordered = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("tile", "mean"))), lambda s: s.mean).alias("y"))
-    zero = F.struct(*[F.lit(v).alias(k) for k, v in (("n", 0.0), ("m", 0.0), ("s", 0.0), ("u", 0.0), ("d", 0.0), ("mu", 0.0), ("md", 0.0), ("hit", 0.0))])
+    finite = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("tile", "mean"))), lambda s: s.mean), lambda y: y.isNotNull() & (F.abs(y) < float("inf")))
+    ordered = means.agg(finite.alias("y"))
+    zero = F.struct(*[F.lit(v).alias(k) for k, v in (("n", 0.0), ("m", 0.0), ("s", 0.0), ("u", 0.0), ("d", 0.0), ("top", 0.0), ("hit", 0.0), ("at", 0.0))])
 
     def step(a: Column, y: Column) -> Column:
-        n = a.n + 1
-        sd = F.sqrt(a.s / F.greatest(a.n - 1, F.lit(1.0)))
-        r = F.when(a.n >= 2, F.greatest(F.lit(-clip), F.least(F.lit(clip), (y - a.m) / F.when(sd > 1e-12, sd).otherwise(1.0)))).otherwise(0.0)
-        up, down = F.greatest(F.lit(0.0), alpha * a.u + r - delta), F.greatest(F.lit(0.0), alpha * a.d - r - delta)
-        m = a.m + (y - a.m) / n
-        hit = F.when(a.hit != 0, a.hit).when((n >= warmup) & (up > threshold), 1.0).when((n >= warmup) & (down > threshold), -1.0).otherwise(0.0)
-        parts = (("n", n), ("m", m), ("s", a.s + (y - a.m) * (y - m)), ("u", up), ("d", down), ("mu", F.greatest(a.mu, up)), ("md", F.greatest(a.md, down)), ("hit", hit))
+        n, gap = a.n + 1, y - a.m
+        sd = F.sqrt(F.greatest(a.s / F.greatest(a.n - 1, F.lit(1.0)), F.lit(0.0)))
+        scale = F.when((a.n >= 2) & (sd > 1e-12), sd).otherwise(F.greatest(F.abs(a.m) * 1e-6, F.lit(1e-9)))
+        r = F.greatest(F.lit(-clip), F.least(F.lit(clip), gap / scale))
+        ready = n >= warmup
+        up = F.when(ready, F.greatest(F.lit(0.0), alpha * a.u + r - delta)).otherwise(0.0)
+        down = F.when(ready, F.greatest(F.lit(0.0), alpha * a.d - r - delta)).otherwise(0.0)
+        score = F.greatest(up, down)
+        new = (a.hit == 0) & ready & (score >= threshold)
+        m = F.when(a.n == 0, y).otherwise(a.m + gap / n)
+        s = F.when(a.n == 0, 0.0).otherwise(a.s + gap * (y - m))
+        parts = (("n", n), ("m", m), ("s", s), ("u", up), ("d", down), ("top", F.greatest(a.top, score)), ("hit", F.when(new, F.when(up >= down, 1.0).otherwise(-1.0)).otherwise(a.hit)), ("at", F.when(new, n).otherwise(a.at)))
         return F.struct(*[v.alias(k) for k, v in parts])
 
-    state = ordered.select(F.aggregate("y", zero, step).alias("z"))
-    r = lambda c: F.round(F.col(c), 6)
-    return state.select(F.col("z.n").cast("long").alias("updates"), r("z.u").alias("up"), r("z.d").alias("down"), r("z.mu").alias("max_up"), r("z.md").alias("max_down"), (F.col("z.hit") != 0).alias("detected"), F.when(F.col("z.hit") > 0, "up").when(F.col("z.hit") < 0, "down").alias("direction"))
+    z = ordered.select(F.aggregate("y", zero, step).alias("z"))
+    r = lambda c: F.round(F.col(f"z.{c}"), 6)
+    return z.select(
+        F.col("z.n").cast("long").alias("updates"), r("u").alias("up"), r("d").alias("down"), r("top").alias("max_score"), (F.col("z.hit") != 0).alias("detected"),
+        F.when(F.col("z.hit") > 0, "up").when(F.col("z.hit") < 0, "down").alias("direction"), F.when(F.col("z.hit") != 0, F.col("z.at")).cast("long").alias("detected_at"), (F.col("z.n") >= warmup).alias("sufficient"),
+    )
 
 
 def pick_series(df: DataFrame, target: str | None = None) -> str | None:
     """The target if it is numeric, else the non-id numeric column of the largest variance."""
-    names = [n for n in X.numeric_columns(df) if not name_tokens(n) & {"id", "key", "orderkey", "partkey", "suppkey", "custkey"}]
+    names = [n for n in X.numeric_columns(df) if not name_tokens(n) & {"id", "key", "identifier", "uuid"}]
     if target in names or not names:
         return target if target in names else None
     row = df.agg(*[F.var_samp(X.finite(df, n)) for n in names]).first()

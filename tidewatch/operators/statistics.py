@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import special as S
 from . import profile as P
+from .ranks import cells, cumulative, exact_quantiles, keyed
 
 
 def skew_label(x: Column) -> Column:
@@ -22,44 +23,45 @@ def kurtosis_label(x: Column) -> Column:
 
 
 def outlier_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, n, iqr_outliers, z_outliers, mad_outliers): beyond 1.5 IQR, 3 deviations, 3.5 scaled MADs.
-
-    Three passes for all columns: quantiles and moments, medians of deviations, counts.
-    """
-    first = df.agg(*[F.struct(F.count(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), F.avg(x), F.stddev_samp(x)).alias(str(k)) for k, x in enumerate(X.finite(df, n) for n in names)]).first()
-    second = df.agg(*[F.percentile(F.abs(X.finite(df, n) - F.lit(first[k][1][1] if first[k][1] else None).cast("double")), 0.5).alias(str(k)) for k, n in enumerate(names)]).first()
-    cells = []
-    for k, n in enumerate(names):
-        count, q, mean, std = first[k]
-        x, mad = X.finite(df, n), second[k]
-        hits = lambda test: F.sum(F.when(test, 1).otherwise(0)).cast("long")
-        if count < 3:
-            iqr = z = robust = F.lit(0).cast("long")
-        else:
-            gap = 1.5 * (q[2] - q[0])
-            iqr = hits((x < q[0] - gap) | (x > q[2] + gap))
-            z = hits(F.abs((x - mean) / std) > 3) if std else F.lit(0).cast("long")
-            robust = hits(F.abs(x - q[1]) / (1.4826 * mad) > 3.5) if mad else F.lit(0).cast("long")
-        cells.append(F.struct(F.lit(n).alias("column"), F.count(x).alias("n"), iqr.alias("iqr_outliers"), z.alias("z_outliers"), robust.alias("mad_outliers")))
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    """(column, n, iqr_outliers, z_outliers, mad_outliers): beyond 1.5 IQR, 3 deviations, 3.5 scaled MADs; 0 below three values."""
+    schema = "column string, n long, iqr_outliers long, z_outliers long, mad_outliers long"
+    columns = [X.finite(df, n) for n in names]
+    first = exact_quantiles(df, columns, [0.25, 0.5, 0.75], [F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")]) if names else []
+    far = [F.abs(c - F.lit(f["quantiles"][1])) if f["quantiles"] else F.lit(None).cast("double") for c, f in zip(columns, first, strict=True)]
+    second = exact_quantiles(df, far, [0.5]) if names else []
+    rows = []
+    for k, (f, m) in enumerate(zip(first, second, strict=True)):
+        if f["n"] >= 3:
+            q, mad = f["quantiles"], m["quantiles"][0]
+            gap, deviation = 1.5 * (q[2] - q[0]), f["std"] if f["std"] else None
+            rows.append((k, q[0] - gap, q[2] + gap, f["mean"], deviation, q[1], 1.4826 * mad if mad else None))
+    counts = {}
+    if rows:
+        table = keyed(df.sparkSession, rows, "k int, lo double, hi double, mean double, std double, mid double, mad double")
+        x = F.col("x")
+        hits = lambda test, name: F.sum(F.coalesce(test, F.lit(False)).cast("int")).alias(name)
+        tests = ((x < F.col("lo")) | (x > F.col("hi")), F.abs((x - F.col("mean")) / F.col("std")) > 3, F.abs(x - F.col("mid")) / F.col("mad") > 3.5)
+        found = cells(df, columns).join(table, "k").groupBy("k").agg(*[hits(t, n) for t, n in zip(tests, ("iqr", "z", "robust"), strict=True)])
+        counts = {r["k"]: r for r in found.collect()}
+    out = [(n, f["n"], *((counts[k]["iqr"], counts[k]["z"], counts[k]["robust"]) if k in counts else (0, 0, 0))) for k, (n, f) in enumerate(zip(names, first, strict=True))]
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def mean_interval(df: DataFrame, names: list[str], confidence: float = 0.95) -> DataFrame:
     """(column, n, mean, low, high) by Student's t."""
     row = df.agg(*[F.count(X.finite(df, n)).alias(str(k)) for k, n in enumerate(names)]).first()
-    cells = []
+    parts = []
     for k, n in enumerate(names):
         x = X.finite(df, n)
         t = S.t_ppf(0.5 + confidence / 2, row[k] - 1) if row[k] > 1 else float("nan")
         half = t * F.stddev_samp(x) / F.sqrt(F.count(x))
-        cells.append(F.struct(F.lit(n).alias("column"), F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.avg(x) - half, 4).alias("low"), F.round(F.avg(x) + half, 4).alias("high")))
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+        parts.append(F.struct(F.lit(n).alias("column"), F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.avg(x) - half, 4).alias("low"), F.round(F.avg(x) + half, 4).alias("high")))
+    return df.agg(F.array(*parts).alias("cells")).select(F.inline("cells"))
 
 
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, upto): distinct finite values with cumulative counts; the window sees distinct values, not rows."""
-    freq = df.select(X.finite(df, column).alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return freq.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
+    """(value, n, upto): distinct finite values with cumulative counts."""
+    return cumulative(df.select(X.finite(df, column).alias("value")), "value", {"n": F.count(F.lit(1))}).select("value", "n", F.col("upto_n").alias("upto"))
 
 
 def median_interval(df: DataFrame, column: str, confidence: float = 0.95) -> DataFrame:
@@ -107,20 +109,128 @@ def dagostino(df: DataFrame, names: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "column string, n long, statistic double, p_value double, normal boolean")
 
 
-def distribution_fit(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, distribution, aic): closed-form likelihood fits of normal, exponential and log-normal, best first."""
-    cells = []
-    for n in names:
-        x = X.finite(df, n)
-        positive = F.when(x > 0, F.ln(x))
-        cells.append(F.struct(F.lit(n).alias("column"), F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.min(x).alias("lo"), F.avg(positive).alias("lm"), F.stddev_pop(positive).alias("ls")))
-    rows = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-    n = F.col("n")
-    norm = n * F.log(F.lit(2 * math.pi) * F.col("s") ** 2) + n + 4
-    expo = 2 * n * (1 + F.log(F.nullif(F.col("m") - F.col("lo"), F.lit(0.0)))) + 4
-    logn = F.when(F.col("lo") > 0, n * F.log(F.lit(2 * math.pi) * F.col("ls") ** 2) + n + 2 * n * F.col("lm") + 4)
-    fits = F.array(*[F.struct(F.lit(d).alias("distribution"), F.round(a, 4).alias("aic")) for d, a in (("norm", norm), ("expon", expo), ("lognorm", logn))])
-    return rows.where("n >= 30").select("column", F.inline(fits)).where("aic is not null")
+def shapiro(df: DataFrame, names: list[str], most: int = 5_000) -> DataFrame:
+    """(column, n, statistic, p_value, normal): Shapiro and Wilk's W by Royston's approximation, for 4 to `most` values; else null."""
+    out = []
+    sizes = df.agg(*[F.count(X.finite(df, n)) for n in names]).first() if names else []
+    for name, n in zip(names, sizes, strict=True):
+        if not 4 <= n <= most:
+            out.append((name, n, None, None, None))
+            continue
+        x = np.sort([r[0] for r in df.select(X.finite(df, name).alias("x")).where("x is not null").collect()])
+        w, p = shapiro_wilk(x)
+        out.append((name, n, w, p, None if p is None else p >= 0.05))
+    return df.sparkSession.createDataFrame(out, "column string, n long, statistic double, p_value double, normal boolean")
+
+
+def shapiro_wilk(x: np.ndarray) -> tuple[float | None, float | None]:
+    """(W, p) of sorted values; null without spread."""
+    n = len(x)
+    spread = ((x - x.mean()) ** 2).sum()
+    if spread <= 0:
+        return None, None
+    m = np.array([S.normal_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    total, u = float(m @ m), n**-0.5
+    a = m / math.sqrt(total)
+    last = a[-1] + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)
+    ends = [last]
+    if n > 5:
+        ends.append(a[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u))
+    k = len(ends)
+    phi = (total - 2 * sum(v * v for v in m[-k:])) / (1 - 2 * sum(v * v for v in ends))
+    a = m / math.sqrt(phi)
+    for i, v in enumerate(ends):
+        a[-1 - i], a[i] = v, -v
+    w = min(1.0, float((a @ x) ** 2 / spread))
+    if w >= 1 - 1e-12:
+        return w, 1.0
+    if n >= 12:
+        y, log = math.log(1 - w), math.log(n)
+        mean, deviation = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log))
+    else:
+        edge = 0.459 * n - 2.273
+        if math.log(1 - w) >= edge:
+            return w, 0.0
+        y = -math.log(edge - math.log(1 - w))
+        mean, deviation = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    return w, float(1 - S.normal_cdf((y - mean) / deviation))
+
+
+def triage(facts, names: list[str], most: int) -> list[str]:
+    """The `most` columns that deserve deep statistics, in table order: skewed, heavy-tailed, gappy or varied ones first."""
+
+    def interest(n: str) -> float:
+        f, c = facts.numeric[n], facts.columns[n]
+        if not f["std"]:
+            return -1.0
+        gaps, varied = c["missing"] / max(1, facts.rows), c["distinct"] / max(1, c["filled"])
+        return min(3.0, abs(f["skewness"] or 0.0)) + min(3.0, abs(f["kurtosis"] or 0.0) / 3) + 2 * gaps + varied
+
+    best = set(sorted(names, key=lambda n: (-interest(n), n))[:most])
+    return [n for n in names if n in best]
+
+
+FITS = ("norm", "expon", "lognorm", "gamma", "weibull_min", "beta")
+
+
+def distribution_fit(df: DataFrame, names: list[str], kinds: tuple[str, ...] = FITS) -> DataFrame:
+    """(column, distribution, aic) of maximum-likelihood fits with two parameters each, for 30 values or more.
+
+    All follow from sums over all rows: normal, exponential, log-normal and gamma from one scan, Weibull from one scan a
+    Newton step for all columns together, beta (for values strictly between 0 and 1) from mean logarithms.
+    """
+    schema = "column string, distribution string, aic double"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    x = F.col("x")
+    at = cells(df, [X.finite(df, n) for n in names])
+    log, rest = F.when(x > 0, F.ln(x)), F.when((x > 0) & (x < 1), F.ln(1 - x))
+    sums = at.groupBy("k").agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(log).alias("lm"), F.stddev_pop(log).alias("ls"), F.avg(rest).alias("lr"))
+    rows = {r["k"]: r for r in sums.collect() if r["n"] >= 30 and r["s"]}
+    positive = {k: r for k, r in rows.items() if r["lo"] > 0}
+    shapes = _weibull_shapes(at, positive) if "weibull_min" in kinds else {}
+    out = []
+    for k, r in rows.items():
+        n, m, s, lo, lm = (r[c] for c in ("n", "m", "s", "lo", "lm"))
+        fits = {"norm": n * math.log(2 * math.pi * s * s) + n + 4}
+        if m > lo:
+            fits["expon"] = 2 * n * (1 + math.log(m - lo)) + 4
+        if k in positive and r["ls"]:
+            fits["lognorm"] = n * math.log(2 * math.pi * r["ls"] ** 2) + n + 2 * n * lm + 4
+            a = S.inverse_digamma_gap(math.log(m) - lm)
+            fits["gamma"] = 4 - 2 * n * ((a - 1) * lm - a - a * math.log(m / a) - math.lgamma(a))
+            if k in shapes:
+                c, scale = shapes[k]
+                fits["weibull_min"] = 4 - 2 * n * (math.log(c) - c * math.log(scale) + (c - 1) * lm - 1)
+        if lo > 0 and r["hi"] < 1:
+            a, b = S.beta_shapes(lm, r["lr"], m, s * s)
+            fits["beta"] = 4 - 2 * n * ((a - 1) * lm + (b - 1) * r["lr"] - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b))
+        out += [(names[k], d, fits[d]) for d in kinds if d in fits and math.isfinite(fits[d])]
+    return df.sparkSession.createDataFrame(out, schema).withColumn("aic", F.round("aic", 4))
+
+
+def _weibull_shapes(at: DataFrame, rows: dict, steps: int = 12) -> dict[int, tuple[float, float]]:
+    """(shape, scale) of each column by Newton steps, one scan a step for all columns that have not settled."""
+    shape = {k: 1.2 / r["ls"] for k, r in rows.items() if r["ls"]}
+    scale, open_ = dict.fromkeys(shape, 1.0), set(shape)
+    for _ in range(steps):
+        if not open_:
+            break
+        table = keyed(at.sparkSession, [(k, shape[k], rows[k]["lm"]) for k in sorted(open_)], "k int, c double, lm double")
+        # logarithms are taken about their mean, so that powers neither overflow nor vanish
+        z = F.ln("x") - F.col("lm")
+        power = F.exp(F.col("c") * z)
+        sums = at.where("x > 0").join(table, "k").groupBy("k").agg(F.avg(power).alias("p"), F.avg(power * z).alias("q"), F.avg(power * z * z).alias("r")).collect()
+        for row in sums:
+            k, c = row["k"], shape[row["k"]]
+            gap = row["q"] / row["p"] - 1 / c
+            slope = (row["r"] * row["p"] - row["q"] ** 2) / row["p"] ** 2 + 1 / c**2
+            new = max(c / 3, min(3 * c, c - gap / slope))
+            scale[k] = math.exp(rows[k]["lm"]) * row["p"] ** (1 / c)
+            if abs(new - c) <= 1e-9 * c:
+                open_.discard(k)
+            shape[k] = new
+    return {k: (shape[k], scale[k]) for k in shape}
 
 
 def bootstrap_interval(df: DataFrame, names: list[str], order: list[str], resamples: int = 999, most: int = 2_000, seed: int = 42) -> DataFrame:
@@ -151,7 +261,7 @@ def bootstrap_interval(df: DataFrame, names: list[str], order: list[str], resamp
 
 
 def anderson_normal(df: DataFrame, column: str) -> DataFrame:
-    """(n, statistic): Anderson-Darling distance to the fitted normal, from distinct values and their ranks."""
+    """(n, statistic, normal): Anderson-Darling distance to the fitted normal, from distinct values and their ranks."""
     row = df.agg(F.count(X.finite(df, column)), F.avg(X.finite(df, column)), F.stddev_samp(X.finite(df, column))).first()
     n, mean, std = row
     ranks = value_ranks(df, column)
@@ -167,7 +277,7 @@ def anderson_normal(df: DataFrame, column: str) -> DataFrame:
     left = (upto * upto - from_ * from_) * F.log(F.greatest(cdf, F.lit(1e-300)))
     back, fore = F.lit(float(n)) - from_, F.lit(float(n)) - upto
     right = (back * back - fore * fore) * F.log(F.greatest(1 - cdf, F.lit(1e-300)))
-    return ranks.agg(F.lit(n).cast("long").alias("n"), F.round(-F.lit(float(n)) - F.sum(left + right) / n, 4).alias("statistic"))
+    return ranks.agg(F.lit(n).cast("long").alias("n"), F.round(-F.lit(float(n)) - F.sum(left + right) / n, 4).alias("statistic")).withColumn("normal", F.col("statistic") * (1 + 0.75 / n + 2.25 / n**2) < 0.752)
 
 
 def column_statistics(df: DataFrame, names: list[str]) -> DataFrame:

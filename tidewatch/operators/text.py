@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles
+
 #: Words of letters, digits, underscores and hyphens, the same in all regular expression dialects.
 WORD = r"[\p{L}\p{N}_\-]+"
 #: Fixed values.
@@ -28,7 +30,11 @@ def tokens(df: DataFrame, column: str) -> DataFrame:
 
 def length_stats(df: DataFrame, column: str) -> DataFrame:
     n = F.length(f"`{column}`")
-    return df.agg(F.count(n).alias("n"), F.round(F.avg(n), 4).alias("mean"), F.min(n).cast("long").alias("min"), F.max(n).cast("long").alias("max"), F.round(F.percentile(n, 0.5), 4).alias("median"), F.round(F.percentile(n, 0.95), 4).alias("p95"))
+    found = exact_quantiles(df, [n], [0.5, 0.95], [F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")])[0]
+    q = found["quantiles"] or (None, None)
+    whole = lambda k: None if found.get(k) is None else int(found[k])
+    row = df.sparkSession.createDataFrame([(found["n"], found.get("mean"), whole("min"), whole("max"), *q)], "n long, mean double, min long, max long, median double, p95 double")
+    return row.select("n", F.round("mean", 4).alias("mean"), "min", "max", F.round("median", 4).alias("median"), F.round("p95", 4).alias("p95"))
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:

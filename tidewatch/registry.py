@@ -140,7 +140,7 @@ def _(s, d):
     return sampling.sample_rows(sql(s, d, "SELECT * FROM orders"), ["o_orderkey"], 100, "even").select("o_orderkey")
 
 
-@query("smp08_split_by_date")
+@query("smp08_split_by_date", "WITH r AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM events) SELECT CASE WHEN i < n // 2 THEN 'older' ELSE 'newer' END AS part, count(*) AS n, min(ts) AS first, max(ts) AS last FROM r GROUP BY 1")
 def _(s, d):
     old, new = sampling.split_by_date(sql(s, d, "SELECT * FROM events"), "ts")
     part = lambda df, n: df.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
@@ -228,7 +228,16 @@ def _(s, d):
     return scoring.anomalous_rows(sql(s, d, L), NUMBERS, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@query("scr02_health_score")
+_HN = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice"]
+
+
+@query(
+    "scr02_health_score",
+    f"WITH t AS ({DIRTY}), g AS (SELECT count(*) AS n, 100.0::DOUBLE * (7 * count(*) - " + " - ".join(f"count({c})" for c in [*_HN, "l_returnflag", "l_linestatus"]) + ") / (7 * count(*)) AS gaps FROM t), u AS (SELECT count(*) AS k FROM (SELECT DISTINCT * FROM t)), "
+    + "o AS (SELECT 100.0::DOUBLE * sum(hits) / sum(given) AS far FROM (" + _union([f"SELECT count({c}) AS given, count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS hits FROM t, {_fences(c, 'SELECT * FROM t')}" for c in _HN]) + ")), "
+    + "s AS (SELECT round(least(100, greatest(0, 0.3::DOUBLE * (100 - gaps) + 0.2::DOUBLE * (100 + 100 - round(100.0 * (n - k) / n, 2) + 100 - far) + 10)), 2) AS score, * FROM g, u, o) "
+    + "SELECT score AS overall_score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair' WHEN score >= 40 THEN 'Poor' ELSE 'Critical' END AS label, round(gaps, 2) AS missing_percent, round(100.0 * (n - k) / n, 2)::DOUBLE AS duplicate_percent, round(far, 2) AS outlier_percent FROM s",
+)
 def _(s, d):
     return scoring.health_frame(sql(s, d, DIRTY))
 
@@ -335,9 +344,22 @@ def _(s, d):
     return statistics.entropy(sql(s, d, DIRTY), ["l_returnflag", "l_linestatus"])
 
 
-@query("sta07_normality")
+def _dagostino_sql(c: str) -> str:
+    n = "n::DOUBLE"
+    b2 = "3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))"
+    root = "6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))"
+    return (
+        f"SELECT '{c}' AS \"column\", CAST(n AS BIGINT) AS n, round(z1 * z1 + z2 * z2, 2) AS statistic, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p_value, exp(-(z1 * z1 + z2 * z2) / 2) >= 0.05 AS normal FROM ("
+        "SELECT n, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * a) - sign(cube) * abs(cube) ** (1.0::DOUBLE / 3)) / sqrt(2 / (9 * a)) AS z2 FROM ("
+        "SELECT n, y, w2, a, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS cube FROM ("
+        f"SELECT n, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * ({b2} - 1)) - 1 AS w2, (g2 + 6 / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x, 6 + 8 / ({root}) * (2 / ({root}) + sqrt(1 + 4 / ({root}) ** 2)) AS a FROM ("
+        f"SELECT {n} AS n, m3 / m2 ** 1.5 AS g1, m4 / (m2 * m2) - 3 AS g2 FROM (SELECT count({c}) AS n, avg(({c} - m) ** 2) AS m2, avg(({c} - m) ** 3) AS m3, avg(({c} - m) ** 4) AS m4 FROM lineitem, (SELECT avg({c}) AS m FROM lineitem))))))"
+    )
+
+
+@query("sta07_normality", _union([_dagostino_sql(c) for c in NUMBERS]))
 def _(s, d):
-    return statistics.dagostino(sql(s, d, L), NUMBERS)
+    return statistics.dagostino(sql(s, d, L), NUMBERS).withColumns({"statistic": F.round("statistic", 2), "p_value": F.round("p_value", 6)})
 
 
 @query("sta07_anderson")
@@ -350,7 +372,12 @@ def _(s, d):
     "WITH m AS (SELECT count(l_extendedprice) AS n, avg(l_extendedprice) AS a, stddev_pop(l_extendedprice) AS s, min(l_extendedprice) AS lo, avg(ln(l_extendedprice)) AS la, stddev_pop(ln(l_extendedprice)) AS ls FROM lineitem) SELECT 'l_extendedprice' AS \"column\", 'norm' AS distribution, round(n * ln(2 * pi() * s * s) + n + 4, 4) AS aic FROM m UNION ALL SELECT 'l_extendedprice', 'expon', round(2 * n * (1 + ln(a - lo)) + 4, 4) FROM m UNION ALL SELECT 'l_extendedprice', 'lognorm', round(n * ln(2 * pi() * ls * ls) + n + 2 * n * la + 4, 4) FROM m",
 )
 def _(s, d):
-    return statistics.distribution_fit(sql(s, d, L), ["l_extendedprice"])
+    return statistics.distribution_fit(sql(s, d, L), ["l_extendedprice"], ("norm", "expon", "lognorm"))
+
+
+@query("sta08_shape_fits")
+def _(s, d):
+    return statistics.distribution_fit(sql(s, d, "SELECT l_extendedprice, (l_quantity - 0.5D) / 50 AS share FROM lineitem"), ["l_extendedprice", "share"])
 
 
 @query("sta09_bootstrap")
@@ -371,7 +398,15 @@ def _(s, d):
 
 @query("biv01_kendall")
 def _(s, d):
-    return bivariate.kendall(sql(s, d, L), "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"], 500)
+    return bivariate.kendall(sql(s, d, L), "l_quantity", "l_extendedprice")
+
+
+@query(
+    "biv01_kendall_discrete",
+    "WITH p AS (SELECT l_quantity AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY ALL), d AS (SELECT sum(CASE WHEN a.y < b.y THEN a.n * b.n WHEN a.y > b.y THEN -a.n * b.n ELSE 0 END)::DOUBLE AS s FROM p a JOIN p b ON a.x < b.x), t AS (SELECT sum(n)::DOUBLE AS n FROM p), tx AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT sum(n)::DOUBLE AS k FROM p GROUP BY x)), ty AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT sum(n)::DOUBLE AS k FROM p GROUP BY y)) SELECT CAST(t.n AS BIGINT) AS n, round(s / sqrt((t.n * (t.n - 1) / 2 - tx.t) * (t.n * (t.n - 1) / 2 - ty.t)), 6) AS tau_b FROM d, t, tx, ty",
+)
+def _(s, d):
+    return bivariate.kendall(sql(s, d, L), "l_quantity", "l_discount").withColumn("tau_b", F.round("tau_b", 6))
 
 
 @query(
@@ -548,7 +583,10 @@ def _(s, d):
     return anomaly.isolation_scores(sql(s, d, "SELECT * FROM orders"), ["o_totalprice", "o_custkey"], ["o_orderkey"])
 
 
-@query("ano05_mahalanobis")
+@query(
+    "ano05_mahalanobis",
+    "WITH m AS (SELECT avg(l_quantity) AS ma, avg(l_extendedprice) AS mb, var_samp(l_quantity) AS va, var_samp(l_extendedprice) AS vb, covar_samp(l_quantity, l_extendedprice) AS c FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(greatest(0, (vb * (l_quantity - ma) ** 2 - 2 * c * (l_quantity - ma) * (l_extendedprice - mb) + va * (l_extendedprice - mb) ** 2) / (va * vb - c * c))), 6) AS distance FROM lineitem, m",
+)
 def _(s, d):
     return anomaly.mahalanobis(sql(s, d, L), ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey"])
 
@@ -583,9 +621,12 @@ def _(s, d):
     return charts.tfidf_top(sql(s, d, "SELECT doc_id, text FROM documents"), "under the mit license", 10, "doc_id")
 
 
-@query("ano07_ecod")
+@query(
+    "ano07_ecod",
+    "WITH t AS (SELECT o_orderkey, " + ", ".join(f"-ln(count(*) OVER (ORDER BY {c}) / count(*) OVER ()) AS l{k}, -ln(count(*) OVER (ORDER BY {c} DESC) / count(*) OVER ()) AS r{k}" for k, c in enumerate(("o_totalprice", "o_custkey"))) + " FROM orders), w AS (SELECT skewness(o_totalprice) < 0 AS n0, skewness(o_custkey) < 0 AS n1 FROM orders) SELECT o_orderkey, round(greatest(l0 + l1, r0 + r1, CASE WHEN n0 THEN l0 ELSE r0 END + CASE WHEN n1 THEN l1 ELSE r1 END), 6) AS score FROM t, w",
+)
 def _(s, d):
-    return anomaly.ecod_scores(sql(s, d, "SELECT * FROM orders"), ["o_totalprice"], ["o_orderkey"], 100)
+    return anomaly.ecod_scores(sql(s, d, "SELECT * FROM orders"), ["o_totalprice", "o_custkey"], ["o_orderkey"])
 
 
 # ---- series --------------------------------------------------------------------------------------------------------
@@ -617,9 +658,20 @@ def _(s, d):
     return series.window_means(sql(s, d, "SELECT * FROM events"), ["ts", "event_id"], "value")
 
 
-@query("chg01_page_hinkley")
+_SHIFTED = "SELECT ts, event_id, value + CASE WHEN ts > TIMESTAMP '2024-01-20' THEN 25 ELSE 0 END AS value FROM events"
+
+
+@query(
+    "chg01_page_hinkley",
+    f"WITH RECURSIVE w AS (SELECT tile, round(avg(value), 6) AS y FROM (SELECT value, ntile(24) OVER (ORDER BY ts, event_id) AS tile FROM ({_SHIFTED})) GROUP BY 1), "
+    "z AS (SELECT 0::BIGINT AS n, 0::DOUBLE AS m, 0::DOUBLE AS s, 0::DOUBLE AS u, 0::DOUBLE AS d, 0::DOUBLE AS top, 0 AS hit, NULL::BIGINT AS hit_at UNION ALL "
+    "SELECT n + 1, CASE WHEN n = 0 THEN y ELSE m + (y - m) / (n + 1) END, CASE WHEN n = 0 THEN 0 ELSE s + (y - m) * (y - m - (y - m) / (n + 1)) END, nu, nd, greatest(top, nu, nd), CASE WHEN hit = 0 AND greatest(nu, nd) >= 8 THEN CASE WHEN nu >= nd THEN 1 ELSE -1 END ELSE hit END, CASE WHEN hit = 0 AND greatest(nu, nd) >= 8 THEN n + 1 ELSE hit_at END "
+    "FROM (SELECT *, CASE WHEN n + 1 >= 8 THEN greatest(0, 0.995::DOUBLE * u + r - 0.5::DOUBLE) ELSE 0 END AS nu, CASE WHEN n + 1 >= 8 THEN greatest(0, 0.995::DOUBLE * d - r - 0.5::DOUBLE) ELSE 0 END AS nd "
+    "FROM (SELECT z.*, y, greatest(-8, least(8, (y - m) / CASE WHEN n >= 2 AND sqrt(s / (n - 1)) > 1e-12 THEN sqrt(s / (n - 1)) ELSE greatest(abs(m) * 1e-6::DOUBLE, 1e-9::DOUBLE) END)) AS r FROM z JOIN w ON w.tile = z.n + 1))) "
+    "SELECT n AS updates, round(u, 6) AS up, round(d, 6) AS down, round(top, 6) AS max_score, hit <> 0 AS detected, CASE hit WHEN 1 THEN 'up' WHEN -1 THEN 'down' END AS direction, hit_at AS detected_at, n >= 8 AS sufficient FROM z ORDER BY n DESC LIMIT 1",
+)
 def _(s, d):
-    return series.page_hinkley(series.window_means(sql(s, d, "SELECT ts, event_id, value + CASE WHEN event_id % 1000 > 500 THEN 0 ELSE 1 END AS value FROM events"), ["ts", "event_id"], "value"))
+    return series.page_hinkley(series.window_means(sql(s, d, _SHIFTED), ["ts", "event_id"], "value"))
 
 
 # ---- text ----------------------------------------------------------------------------------------------------------
@@ -767,7 +819,10 @@ def _(s, d):
     return ml.permutation_importance(sql(s, d, "SELECT l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem"), "l_linestatus", 2)
 
 
-@query("mlp06_mutual_information")
+@query(
+    "mlp06_mutual_information",
+    "WITH e AS (SELECT DISTINCT unnest(quantile_cont(l_extendedprice, [" + ", ".join(f"{k / 20}" for k in range(1, 20)) + "])) AS e FROM lineitem), i AS (SELECT list(e) AS es FROM e), c AS (SELECT len(list_filter(es, lambda q: l_extendedprice > q)) AS f, l_returnflag AS t, count(*) AS n FROM lineitem, i GROUP BY ALL), p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY f) / sum(n) OVER () AS a, sum(n) OVER (PARTITION BY t) / sum(n) OVER () AS b FROM c) SELECT round(sum(p * ln(p / (a * b))), 6) AS mutual_information FROM p",
+)
 def _(s, d):
     from .operators import ml
 

@@ -67,20 +67,26 @@ def window_profile(stream: DataFrame, ts: str, value: str, late: str = "1 hour",
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width)).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high")).select(F.col("window.start").alias("start"), "n", "mean", "std", "low", "high")
 
 
-def shift_detector(stream: DataFrame, key: str, order: str, value: str, delta: float = 0.5, alpha: float = 0.995, threshold: float = 8.0, clip: float = 8.0) -> DataFrame:
+def shift_detector(stream: DataFrame, key: str, order: str, value: str, delta: float = 0.5, alpha: float = 0.995, threshold: float = 8.0, clip: float = 8.0, warmup: int = 8) -> DataFrame:
     """(key, updates, up, down, detected) after each micro-batch: a Page-Hinkley test kept as state of each key."""
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, m, s, up, down, hit = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, False)
         for y in pd.concat(list(frames)).sort_values("o")["v"].dropna():
-            sd = (s / (n - 1)) ** 0.5 if n > 1 else 0.0
-            r = max(-clip, min(clip, (y - m) / (sd if sd > 1e-12 else 1.0))) if n >= 2 else 0.0
-            up, down = max(0.0, alpha * up + r - delta), max(0.0, alpha * down - r - delta)
+            if abs(y) == float("inf"):
+                continue
+            sd = (max(s, 0.0) / (n - 1)) ** 0.5 if n > 1 else 0.0
+            gap = y - m
+            if n + 1 >= warmup:
+                r = max(-clip, min(clip, gap / (sd if sd > 1e-12 else max(abs(m) * 1e-6, 1e-9))))
+                up, down = max(0.0, alpha * up + r - delta), max(0.0, alpha * down - r - delta)
+                hit = hit or max(up, down) >= threshold
             n += 1
-            step = y - m
-            m += step / n
-            s += step * (y - m)
-            hit = hit or (n >= 5 and max(up, down) > threshold)
+            if n == 1:
+                m = y
+                continue
+            m += gap / n
+            s += gap * (y - m)
         state.update((n, m, s, up, down, hit))
         yield pd.DataFrame([(k[0], n, up, down, hit)], columns=["key", "updates", "up", "down", "detected"])
 

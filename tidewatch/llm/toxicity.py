@@ -150,14 +150,22 @@ def scores(bodies: list[bytes | None], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
+def _in_bytes(buckets: np.ndarray, counts: np.ndarray, most: int = 127) -> tuple[np.ndarray, np.ndarray]:
+    """The same sums a bucket in counts of one byte: a bucket with a larger count is named several times."""
+    times = -(-counts // most)
+    out = np.full(int(times.sum()), most, np.int8)
+    out[np.cumsum(times) - 1] = counts - (times - 1) * most
+    return np.repeat(buckets, times), out
+
+
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(x.as_py()) for x in batch.column(1)]
+        found = [_in_bytes(*features(x.as_py())) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
-                pa.array([f[1].astype(np.int64) for f in found], pa.list_(pa.int64())),
+                pa.array([f[1] for f in found], pa.list_(pa.int8())),
             ],
             names=["label", "buckets", "counts"],
         )
@@ -196,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         picked = part if picked is None else picked.unionByName(part)
     # one text an id: an id that many rows repeat adds no more to the driver than any other
     rows = docs.select("doc_id", _body(docs)).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.min("body").alias("body")).drop("doc_id")
-    table = rows.mapInArrow(_feature_batches, "label int, buckets array<int>, counts array<long>").toArrow()
+    table = rows.mapInArrow(_feature_batches, "label int, buckets array<int>, counts array<byte>").toArrow()
     if len(set(table.column("label").to_pylist())) < 2:
         return None
     examples = []

@@ -268,3 +268,18 @@ def test_wide_tables_take_few_jobs(spark):
         jobs = len(tracker.getJobIdsForGroup(group))
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 30 and p["correlations"]["n0"]["n1"] is not None
+
+
+def test_long_series_are_tiled_and_lags_cross_blocks(spark, monkeypatch):
+    from tidewatch.operators import ranks
+
+    y = np.random.default_rng(2).normal(size=900).cumsum()
+    frame = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)], "k long, y double").select(F.timestamp_seconds("k").alias("t"), "y").repartition(5)
+    d = y - y.mean()
+    want = [float((d[k:] * d[:-k]).sum() / (d @ d)) for k in range(1, 6)]
+    for block, rows in ((100_000, 1_000_000), (7, 100)):
+        monkeypatch.setattr(series, "BLOCK", block)
+        monkeypatch.setattr(ranks, "RANGE_ROWS", rows)
+        assert np.allclose([r["acf"] for r in series.autocorrelation(frame, 5).orderBy("lag").collect()], want, atol=1e-6)
+    got = [r["y"] for r in series.tiled(frame, 90).orderBy("t").collect()]
+    assert np.allclose(got, y.reshape(90, 10).mean(1)) and series.tiled(frame, 900).count() == 900

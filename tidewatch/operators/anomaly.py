@@ -10,6 +10,10 @@ from ..functions import expressions as X
 from .ranks import cumulative, exact_quantiles
 
 
+#: Cells of a projection's histogram on either side of its median.
+CELLS = 200
+
+
 def robust_scales(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """(median, scale) of each usable column: 1.4826 MAD, else the deviation; constants are left out."""
     columns = [X.finite(df, n) for n in names]
@@ -40,13 +44,17 @@ def top3_scores(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     return df.select(*keys, F.round(F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.size(part), 6).alias("score"))
 
 
-def fast_scan(df: DataFrame, names: list[str], keys: list[str], contamination: float = 0.05, projections: int = 12, max_columns: int = 24, top_k: int = 25, seed: int = 42) -> DataFrame:
+def fast_scan(df: DataFrame, names: list[str], keys: list[str], contamination: float = 0.05, projections: int = 12, max_columns: int | None = None, top_k: int = 25, seed: int = 42) -> DataFrame:
     """(keys, top3, tail, rarity, score, flagged): an ensemble of the three largest deviations, sparse random projections and rarity.
 
-    Each projection is a literal linear expression; its histogram is the only thing grouped. Scores are scaled to 0..1
-    by their range, and the share `contamination` with the largest scores is flagged; the top_k of them are returned.
+    Each projection is a literal linear expression over all columns, or the first max_columns; its histogram, in cells of
+    half a robust deviation out to CELLS / 2 deviations, is the only thing grouped, and values beyond are as rare as a
+    single row. Scores are scaled to 0..1 by their range, and the share `contamination` with the largest scores is
+    flagged; the top_k of them are returned.
     """
     scales = robust_scales(df, names[:max_columns])
+    if not scales:
+        return df.select(*keys, *[F.lit(0.0).alias(c) for c in ("top3", "tail", "rarity", "score")], F.lit(False).alias("flagged")).orderBy(*keys).limit(top_k)
     z = [F.coalesce((X.finite(df, n) - m) / s, F.lit(0.0)) for n, (m, s) in scales.items()]
     rng = np.random.default_rng(seed)
     weights = rng.choice([-1.0, 0.0, 1.0], (projections, len(z)), p=[1 / 6, 2 / 3, 1 / 6])
@@ -58,11 +66,15 @@ def fast_scan(df: DataFrame, names: list[str], keys: list[str], contamination: f
     tail = F.aggregate("p", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     cells = projected.select(F.posexplode("p").alias("k", "v")).groupBy("k", F.floor(F.col("v") * 2).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     rows = df.count()
-    dense = {(r["k"], r["cell"]): r["n"] for r in cells.where(F.col("n") >= max(2, rows // 1000)).collect()}
-    pairs = [x for (k, c), n in sorted(dense.items()) for x in (F.lit(f"{k}:{c}"), F.lit(-float(np.log(n / rows))))]
-    table = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(0.0))
-    far = F.lit(float(np.log(max(rows, 2))))
-    rare = F.aggregate(F.transform("p", lambda v, k: F.coalesce(table[F.concat(k.cast("string"), F.lit(":"), F.floor(v * 2).cast("string"))], far)), F.lit(0.0), lambda a, x: a + x) / projections
+    counts = {(r["k"], r["cell"]): r["n"] for r in cells.where(F.abs("cell") <= CELLS).collect()}
+    # one array a projection, so that a row's cell is found by its number; cells that no row fills are never asked for
+    far = float(np.log(max(rows, 2)))
+    table = ", ".join("array(" + ", ".join(f"{far if (k, c) not in counts else -float(np.log(counts[k, c] / rows))!r}D" for c in range(-CELLS, CELLS + 1)) + ")" for k in range(projections))
+    spread = projected.withColumn("table", F.expr(f"array({table})"))
+    cell = lambda v: F.floor(v * 2).cast("int") + CELLS
+    rarity = F.transform("p", lambda v, k: F.when(F.abs(v) <= CELLS / 2 - 1, F.get(F.get("table", k), cell(v))).otherwise(far))
+    projected = spread.select(*keys, "top3", "p", (F.aggregate(rarity, F.lit(0.0), lambda a, x: a + x) / projections).alias("rare"))
+    rare = F.col("rare")
     scored = projected.select(*keys, "top3", tail.alias("tail"), rare.alias("rarity"))
     ends = scored.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("top3", "tail", "rarity") for f in (F.min, F.max)]).first()
     unit = lambda c: (F.col(c) - ends[f"min_{c}"]) / (ends[f"max_{c}"] - ends[f"min_{c}"]) if ends[f"max_{c}"] > ends[f"min_{c}"] else F.lit(0.0)

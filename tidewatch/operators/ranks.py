@@ -160,3 +160,16 @@ def cumulative(df: DataFrame, value: str, counts: dict[str, Column]) -> DataFram
     )
     joined = local.join(F.broadcast(shifts), "_range")
     return joined.select(value, *counts, *[(F.col(f"upto_{n}") + F.col(f"_shift_{n}")).alias(f"upto_{n}") for n in counts], F.coalesce("next", "_after").alias("next"))
+
+
+def places(df: DataFrame, value: str, facts: dict[str, Column]) -> DataFrame:
+    """(place, each fact): the place of each distinct non-null double, from 1, and aggregates of its rows."""
+    df = df.where(F.col(value).isNotNull())
+    cuts = ranges(df, value)
+    freq = with_range(df.groupBy(value).agg(*[c.alias(n) for n, c in facts.items()]), value, cuts)
+    local = freq.withColumn("place", F.row_number().over(Window.partitionBy("_range").orderBy(value)).cast("long"))
+    if not cuts:
+        return local.select("place", *facts)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = freq.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return local.join(F.broadcast(sizes), "_range").select((F.col("place") + F.col("_before")).alias("place"), *facts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as X
-from .ranks import cumulative, exact_quantiles
+from .ranks import cumulative, exact_quantiles, places
 from .roles import name_tokens
 
 #: A whole-series algorithm gets at most so many points; longer series are averaged into as many tiles.
@@ -62,14 +62,30 @@ def regular_series(df: DataFrame, ts: str, value: str, grain: str = "day") -> Da
     return df.select(F.date_trunc(grain, F.col(f"`{ts}`").cast("timestamp")).alias("t"), x.alias("y")).where("t is not null and y is not null").groupBy("t").agg(F.avg("y").alias("y"))
 
 
+#: Positions of a series in one task's window.
+BLOCK = 100_000
+
+
+def positions(series: DataFrame) -> DataFrame:
+    """(i, y) of a series (t, y): places from 1 in the order of t, and the mean of y where a t repeats."""
+    # microseconds of this millennium and the next are exact as doubles
+    at = series.select(F.unix_micros(F.col("t").cast("timestamp")).cast("double").alias("u"), "y").where("y is not null")
+    return places(at, "u", {"y": F.avg("y")}).select(F.col("place").alias("i"), "y")
+
+
 def autocorrelation(series: DataFrame, lags: int) -> DataFrame:
-    """(lag, acf) of an ordered series (t, y); lags join on positions, so there is no window for each lag."""
-    n = F.row_number().over(Window.orderBy("t"))
-    mean = F.avg("y").over(Window.partitionBy())
-    centred = series.select(n.alias("i"), (F.col("y") - mean).alias("d"))
-    shifted = centred.select(F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), F.col("i"), F.col("d").alias("e")).select("lag", (F.col("i") + F.col("lag")).alias("i"), "e")
-    total = centred.agg(F.sum(F.col("d") ** 2).alias("v"))
-    return shifted.join(centred, "i").groupBy("lag").agg(F.sum(F.col("d") * F.col("e")).alias("c")).crossJoin(F.broadcast(total)).select(F.col("lag").cast("long").alias("lag"), F.round(F.col("c") / F.col("v"), 6).alias("acf"))
+    """(lag, acf) of an ordered series (t, y): positions are dealt to blocks that also see the `lags` points after them."""
+    mean, total = series.agg(F.avg("y"), F.var_pop("y") * F.count("y")).first()
+    if not total:
+        return series.sparkSession.createDataFrame([], "lag long, acf double")
+    width = max(BLOCK, lags)
+    place = F.col("i") - 1
+    d = positions(series).select("i", (F.col("y") - mean).alias("d"), F.floor(place / width).alias("b"), (place % width < lags).alias("early"))
+    near = d.withColumn("own", F.lit(True)).unionByName(d.where("early and b > 0").withColumn("b", F.col("b") - 1).withColumn("own", F.lit(False)))
+    order = Window.partitionBy("b").orderBy("i")
+    products = near.select("own", *[(F.col("d") * F.lead("d", k).over(order)).alias(f"l{k}") for k in range(1, lags + 1)]).where("own")
+    sums = products.agg(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.sum(f"l{k}").alias("c")) for k in range(1, lags + 1)]).alias("cells")).select(F.inline("cells"))
+    return sums.where("c is not null").select("lag", F.round(F.col("c") / F.lit(total), 6).alias("acf"))
 
 
 def partial_autocorrelation(acf: list[float]) -> list[float]:
@@ -186,18 +202,27 @@ def forecast_errors(y: np.ndarray, period: int) -> dict:
     return {"available": True, "mae": mae, "rmse": rmse, "naive_mae": base_mae, "naive_rmse": base_rmse, "beats_naive": rmse < base_rmse}
 
 
+def tiled(series: DataFrame, points: int = POINTS) -> DataFrame:
+    """(t, y) with t the places of a series: as it is up to `points` points, longer ones averaged into as many tiles of equal size."""
+    rows = series.where("y is not null").count()
+    at = positions(series)
+    if rows <= points:
+        return at.select(F.col("i").alias("t"), "y")
+    return at.groupBy(F.floor((F.col("i") - 1) * points / rows).alias("t")).agg(F.avg("y").alias("y"))
+
+
 def whole_series(series: DataFrame, label: str = "daily") -> DataFrame:
-    """(n, period, verdict, adf, kpss, trend_strength, seasonal_strength, mae, naive_mae) of one regular series, in one bounded task."""
+    """(n, period, verdict, adf, kpss, trend_strength, seasonal_strength, mae, naive_mae) of one regular series of at most POINTS points, or tiles of a longer one."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("t")["y"].to_numpy()[-POINTS:]
+        y = rows.sort_values("t")["y"].to_numpy()
         period = period_by_fft(y, label)
         s = stationarity(y)
         d = decompose(y, period) if period and len(y) >= 2 * period else {}
         f = forecast_errors(y, period or 0)
         return pd.DataFrame([(len(y), period, s.get("verdict"), s.get("adf"), s.get("kpss"), d.get("trend_strength"), d.get("seasonal_strength"), f.get("mae"), f.get("naive_mae"))], columns=["n", "period", "verdict", "adf", "kpss", "trend_strength", "seasonal_strength", "mae", "naive_mae"])
 
-    return series.groupBy(F.lit(0).alias("_g")).applyInPandas(one, "n long, period long, verdict string, adf double, kpss double, trend_strength double, seasonal_strength double, mae double, naive_mae double")
+    return tiled(series).groupBy(F.lit(0).alias("_g")).applyInPandas(one, "n long, period long, verdict string, adf double, kpss double, trend_strength double, seasonal_strength double, mae double, naive_mae double")
 
 
 def window_means(df: DataFrame, order: list[str], value: str, windows: int = 24) -> DataFrame:

@@ -253,6 +253,8 @@ def test_results_can_be_asked(spark):
     out = api.analyze(df, mode="research", disabled_modules=["modeling", "explainability"])
     assert out.summary()["shape"] == {"rows": 80, "columns": 3} and out.column("segment")["categorical"]["unique_values"] == 2
     assert out.section("profile.shape.rows") == 80 and out["execution"]["anomaly_method"] == "ensemble"
+    assert out["provenance"]["profile"]["method"] == "exact" and out["provenance"]["anomalies_v2"]["method"] == "fitted_on_sample"
+    assert out["display_cards"][0]["severity"] >= out["display_cards"][-1]["severity"] and out["bootstrap"]
     assert out.top_anomalies(3) and out.search("customer_id") and "80 rows" in out.brief() and out.to_snapshot()
 
 
@@ -283,3 +285,17 @@ def test_long_series_are_tiled_and_lags_cross_blocks(spark, monkeypatch):
         assert np.allclose([r["acf"] for r in series.autocorrelation(frame, 5).orderBy("lag").collect()], want, atol=1e-6)
     got = [r["y"] for r in series.tiled(frame, 90).orderBy("t").collect()]
     assert np.allclose(got, y.reshape(90, 10).mean(1)) and series.tiled(frame, 900).count() == 900
+
+
+def test_bounded_parts(spark):
+    from tidewatch.operators import target as target_
+
+    df = spark.createDataFrame([(k, float(k % 7), "ab"[k % 2], k % 2, 1) for k in range(100)], "id long, signal double, segment string, churn long, same int")
+    found = target_.bounded_target_analysis(df, "churn", 3)
+    assert found["available"] and found["columns_left_out"] == 2
+    assert bivariate.numeric_matrix(df, "churn") == ["id", "signal"] and bivariate.numeric_matrix(df, "churn", 1) == ["id"]
+    assert profile.duplicate_estimate(df, ["id"], 50)["duplicate_rows"] == 0
+    assert charts.target_distribution(df, "id")["kind"] == "numeric" and charts.target_distribution(df, "segment")["balance"] == 1.0
+    assert charts.best_rows([{"a": 1}, {"a": 3}, {"a": None}], "a", 1) == [{"a": 3}]
+    top = charts.bivariate_highlights(df, ["id", "signal"], ["segment"])
+    assert top and all(0 <= t["strength"] <= 1 for t in top)

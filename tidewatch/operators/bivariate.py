@@ -289,3 +289,14 @@ def relationship_graph(df: DataFrame, names: list[str], order: list[str], least:
     for n in names:
         groups.setdefault(root(n), []).append(n)
     return {"nodes": len(names), "edges": edges, "components": [g for g in groups.values() if len(g) > 1]}
+
+
+def numeric_matrix(df: DataFrame, target: str | None = None, most: int = 30) -> list[str]:
+    """The numeric columns for a matrix of all pairs: neither the target nor constants, at most `most`, the fullest first."""
+    names = [n for n in X.numeric_columns(df) if n != target]
+    if not names:
+        return []
+    row = df.agg(*[f(X.finite(df, n)) for n in names for f in (F.count, F.stddev_pop)]).first()
+    kept = [(n, row[2 * k]) for k, n in enumerate(names) if row[2 * k + 1]]
+    best = {n for n, _ in sorted(kept, key=lambda r: (-r[1], names.index(r[0])))[:most]}
+    return [n for n in names if n in best]

@@ -115,3 +115,47 @@ def tfidf_top(texts: DataFrame, question: str, k: int = 5, key: str = "path", co
     weighed = terms.join(idf, "slot").join(asked, "slot", "left").withColumn("w", F.col("tf") * F.col("idf"))
     found = weighed.groupBy(key).agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("own"))
     return found.where("dot > 0").select(key, F.round(F.col("dot") / (F.col("own") * (norm or 1.0)), 6).alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
+
+
+def cardinality_strip(df: DataFrame, names: list[str] | None = None, top: int = 18, ratio: float = 0.95) -> DataFrame:
+    """(column, distinct_values, unique_ratio, crowded) of the columns with the most distinct values; crowded ones are nearly unique."""
+    from .profile import distinct_counts
+
+    counts = distinct_counts(df, names)
+    share = F.coalesce(F.col("distinct_values") / F.nullif("non_null", F.lit(0)), F.lit(0.0))
+    return counts.select("column", "distinct_values", F.round(share, 6).alias("unique_ratio"), (share >= ratio).alias("crowded")).orderBy(F.desc("distinct_values"), "column").limit(top)
+
+
+def target_distribution(df: DataFrame, target: str, bins: int = 12) -> dict:
+    """A histogram of a target that is numeric in effect (85 % of its values parse and more than ten differ), else its classes and their balance, the least count over the largest."""
+    c = F.col(f"`{target}`")
+    number = F.expr(f"try_cast(cast(`{target}` as string) as double)")
+    row = df.where(c.isNotNull()).agg(F.avg(number.isNotNull().cast("int")), F.count_distinct(c)).first()
+    if row[0] is not None and row[0] >= 0.85 and row[1] > 10:
+        return {"kind": "numeric", "bins": [tuple(r) for r in histogram(df.select(number.alias(target)), target, bins).orderBy("bin").collect()]}
+    classes = df.where(c.isNotNull()).groupBy(c.cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    ends = classes.agg(F.min("n"), F.max("n")).first()
+    shown = [tuple(r) for r in classes.orderBy(F.desc("n"), "class").limit(bins).collect()]
+    return {"kind": "classes", "classes": shown, "balance": round(ends[0] / ends[1], 6) if ends[1] else None}
+
+
+def best_rows(rows: list[dict], by: str, top: int) -> list[dict]:
+    """The rows with the largest values of `by`: leaderboards (top 8) and importances (top 12)."""
+    return sorted((r for r in rows if r.get(by) is not None), key=lambda r: -r[by])[:top]
+
+
+def bivariate_highlights(df: DataFrame, numbers: list[str], categories: list[str], top: int = 12) -> list[dict]:
+    """The strongest relations of all kinds: correlations, correlation ratios and Cramer's V, each within 0..1."""
+    from itertools import combinations
+
+    from .bivariate import chi_square, correlation_ratio
+    from .profile import correlations
+
+    found = [{"left": r["left"], "right": r["right"], "method": "pearson", "strength": abs(r["correlation"])} for r in correlations(df, numbers, 6).collect() if r["correlation"] is not None]
+    for c in categories:
+        for n in numbers:
+            found.append({"left": c, "right": n, "method": "correlation_ratio", "strength": correlation_ratio(df, c, n).first()[0]})
+    for a, b in combinations(categories, 2):
+        found.append({"left": a, "right": b, "method": "cramers_v", "strength": chi_square(df, a, b).first()["cramers_v"]})
+    found = [f for f in found if f["strength"] is not None and f["strength"] == f["strength"]]
+    return sorted(found, key=lambda f: (-f["strength"], f["left"], f["right"]))[:top]

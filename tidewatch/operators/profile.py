@@ -167,3 +167,11 @@ def build_profile(df: DataFrame, top: int = 10, facts: Facts | None = None) -> d
         "correlation_metadata": {"columns": len(related)},
         "preview": [r.asDict() for r in df.limit(PREVIEW_ROWS).collect()],
     }
+
+
+def duplicate_estimate(df: DataFrame, order: list[str], rows: int = 10_000) -> dict:
+    """The share of duplicate rows in a deterministic sample: a lower bound of the table's, as copies may lie outside it."""
+    from .sampling import sample_rows
+
+    part = duplicate_rows(sample_rows(df, order, rows), df.columns).first()
+    return {"method": "sampled", "rows": part["rows"], "duplicate_rows": part["duplicate_rows"], "duplicate_percent": part["duplicate_percent"]}

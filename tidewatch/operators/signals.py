@@ -67,3 +67,28 @@ def select_analyses(signals: dict, rows: int, target: str | None = None) -> dict
         why = f"needs {missing[0]}" if missing else "too few rows" if rows < least else "needs a target" if wants_target and not target else ""
         (skipped if why else chosen).append({"analysis": name, "reason": why} if why else name)
     return {"selected": chosen, "skipped": skipped}
+
+
+def display_cards(profile: dict, health: dict | None = None, quality: dict | None = None) -> list[dict]:
+    """One card a topic with a value, a severity of 30 (act), 10 (look) or 0, and the columns it is about; the most severe first."""
+    rows, columns = profile["shape"]["rows"], profile["shape"]["columns"]
+    gaps = sum(profile["missing_counts"].values())
+    share = round(100 * gaps / (rows * columns), 2) if rows and columns else 0.0
+    worst = [n for n, p in profile["missing_percent"].items() if p >= 20]
+    strong = sorted({n for a, row in profile["correlations"].items() for b, r in row.items() if a != b and r is not None and abs(r) >= 0.9 for n in (a, b)})
+    grade = lambda x, look, act: 30 if x >= act else 10 if x >= look else 0
+    cards = [
+        ("shape", f"{rows} x {columns}", 30 if not rows or not columns else 0, []),
+        ("missing", share, grade(share, 1, 20), worst),
+        ("duplicates", profile["duplicate_percent"], grade(profile["duplicate_percent"], 0.01, 5), []),
+        ("correlated", len(strong), grade(len(strong), 2, 10), strong),
+        ("categorical", len(profile["categorical_columns"]), 0, profile["categorical_columns"]),
+        ("dates", len(profile["date_columns"]), 0, profile["date_columns"]),
+    ]
+    if health:
+        score = health["overall_score"]
+        cards.append(("health", score, 30 if score < 60 else 10 if score < 75 else 0, []))
+    if quality:
+        found = sum(quality["summary"].values())
+        cards.append(("quality", found, grade(found, 1, 10), []))
+    return sorted(({"card": c, "value": v, "severity": s, "columns": n} for c, v, s, n in cards), key=lambda c: -c["severity"])

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
+
 ACCURACY, ZERO = 0.01, 1e-12
 
 
@@ -65,3 +67,18 @@ def reservoir(df: DataFrame, names: list[str], capacity: int = 256) -> DataFrame
     """The rows with the smallest hashed priorities: a sample that does not depend on partitioning."""
     priority = F.xxhash64(*[F.col(f"`{n}`") for n in names], F.lit(17))
     return df.withColumn("_p", priority).orderBy("_p", *[F.col(f"`{n}`") for n in names]).limit(capacity).drop("_p")
+
+
+def numeric_state(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, n, missing, mean, std, min, max, q25, q50, q75, distinct): moments and bounded sketches of all columns in one scan; quantiles and distinct counts are estimates."""
+    x = F.col("x")
+    aggs = [F.count(x).alias("n"), F.sum(x.isNull().cast("int")).cast("long").alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias("q"), F.approx_count_distinct(x).alias("distinct")]
+    state = X.unpivot(df, names, "x", as_text=False).groupBy("column").agg(*aggs)
+    return state.select("column", "n", "missing", "mean", "std", "min", "max", *[F.col("q")[k].alias(c) for k, c in enumerate(("q25", "q50", "q75"))], "distinct")
+
+
+def categorical_state(df: DataFrame, names: list[str], k: int = 32, items: int = 10_000) -> DataFrame:
+    """(column, n, missing, distinct, top): counts, an estimate of the distinct values and the k most frequent ones, in one scan with bounded state."""
+    v = F.col("value")
+    aggs = [F.count(v).alias("n"), F.sum(v.isNull().cast("int")).cast("long").alias("missing"), F.approx_count_distinct(v).alias("distinct"), F.expr(f"approx_top_k(value, {k}, {items})").alias("top")]
+    return X.unpivot(df, names).groupBy("column").agg(*aggs)

@@ -123,3 +123,11 @@ def segment_analysis(df: DataFrame, target: str) -> dict:
     number = target in X.numeric_columns(df)
     results = [{"segment_column": n, "analysis_type": "numeric" if number else "categorical", "groups": [r.asDict() for r in (segments if number else segment_shares)(df, n, target).collect()]} for n in names]
     return {"available": bool(results), "segment_columns": names, "results": results}
+
+
+def bounded_target_analysis(df: DataFrame, target: str, columns: int = 200) -> dict:
+    """target_analysis over the target and the first columns - 1 others, with the number left out; all rows take part."""
+    others = [n for n in df.columns if n != target]
+    kept = others[: columns - 1]
+    found = target_analysis(df.select(*[F.col(f"`{n}`") for n in [target, *kept] if n in df.columns]), target)
+    return found | {"columns_left_out": len(others) - len(kept)}

@@ -13,6 +13,7 @@ from ..operators import anomaly, cleaning, ensemble, profile, quality, roles, sc
 from ..result import Result
 from .budget import derive_budget
 from .config import Config
+from .provenance import provenance
 
 
 def plan(df: DataFrame, config: Config | None = None) -> dict:
@@ -87,5 +88,9 @@ def _analyze(df: DataFrame, config: Config | None, name: str) -> dict:
         step("model_leaderboard", lambda: [x.asDict() for x in ml.leaderboard(df, config.target).collect()], "modeling")
         step("feature_importance", lambda: [x.asDict() for x in ml.feature_importance(df, config.target).collect()], "explainability")
     step("cleaning", lambda: cleaning.infer_plan(df), "cleaning")
+    out["display_cards"] = signals.display_cards(p, out["health"], out.get("quality_diagnostics"))
+    if config.mode == "research" and deep and 0 < p["shape"]["rows"] <= 2_000:
+        step("bootstrap", lambda: [x.asDict() for x in statistics.bootstrap_interval(df, deep, df.columns).collect()], "deep_statistics")
+    out["provenance"] = provenance(out, p["shape"]["rows"], budget.limits["fit_rows"])
     found = signals.findings(out["dataset_signals"], out.get("quality_diagnostics"), out.get("target_intelligence"))
     return Result(out | {"findings": found, "recommendations": signals.recommendations(found), "config": {"mode": config.mode, "disabled_modules": list(config.disabled_modules)}, "timings_ms": took, "result_schema_version": 1})

@@ -771,6 +771,45 @@ def _(s, d):
     return charts.box(sql(s, d, L), NUMBERS)
 
 
+@query("cht03_cardinality", "SELECT * FROM (" + _union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_values, round(count(DISTINCT {c}) / count({c}), 6) AS unique_ratio, count(DISTINCT {c}) / count({c}) >= 0.95 AS crowded FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")]) + ")")
+def _(s, d):
+    return charts.cardinality_strip(sql(s, d, "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders"))
+
+
+@query("cht10_target_classes", "WITH c AS (SELECT o_orderpriority AS class, count(*) AS n FROM orders GROUP BY 1) SELECT class, n, round((SELECT min(n) / max(n) FROM c), 6) AS balance FROM c")
+def _(s, d):
+    found = charts.target_distribution(sql(s, d, "SELECT * FROM orders"), "o_orderpriority")
+    return s.createDataFrame([(c, n, found["balance"]) for c, n in found["classes"]], "class string, n long, balance double")
+
+
+@query("cht14_highlights")
+def _(s, d):
+    found = charts.bivariate_highlights(sql(s, d, L), NUMBERS, ["l_returnflag", "l_linestatus"])
+    return s.createDataFrame([(f["left"], f["right"], f["method"], float(f["strength"])) for f in found], "left string, right string, method string, strength double")
+
+
+@query("biv09_matrix_columns", _union([f"SELECT '{c}' AS \"column\" FROM lineitem HAVING stddev_pop({c}) > 0" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *NUMBERS[1:])]))
+def _(s, d):
+    df = sql(s, d, "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, 1 AS same FROM lineitem")
+    return s.createDataFrame([(n,) for n in bivariate.numeric_matrix(df, "l_quantity")], "column string")
+
+
+@query("skt07_categorical_state")
+def _(s, d):
+    return sketches.categorical_state(sql(s, d, "SELECT event_type FROM events"), ["event_type"]).select("column", "n", "missing", "distinct")
+
+
+@query("skt09_numeric_state", _union([f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max FROM ({DIRTY})" for c in ("l_quantity", "l_discount")]))
+def _(s, d):
+    state = sketches.numeric_state(sql(s, d, DIRTY), ["l_quantity", "l_discount"])
+    return state.select("column", "n", "missing", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max")
+
+
+@query("sta07_shapiro")
+def _(s, d):
+    return statistics.shapiro(sql(s, d, "SELECT * FROM supplier"), ["s_acctbal"])
+
+
 @query("cht05_difference", "SELECT count(l_extendedprice - l_quantity) AS n, round(avg(l_extendedprice - l_quantity), 6) AS mean, round(min(l_extendedprice - l_quantity), 6) AS min, round(max(l_extendedprice - l_quantity), 6) AS max FROM lineitem")
 def _(s, d):
     return charts.difference(sql(s, d, L), "l_extendedprice", "l_quantity")
@@ -809,14 +848,14 @@ def _(s, d):
 def _(s, d):
     from .operators import ml
 
-    return ml.leaderboard(sql(s, d, "SELECT o_totalprice, o_orderpriority, o_orderstatus FROM orders"), "o_orderstatus", 2, ["logistic"])
+    return ml.leaderboard(sql(s, d, "SELECT o_totalprice, o_orderpriority, o_orderstatus FROM orders"), "o_orderstatus")
 
 
 @query("mlp07_permutation_importance")
 def _(s, d):
     from .operators import ml
 
-    return ml.permutation_importance(sql(s, d, "SELECT l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem"), "l_linestatus", 2)
+    return ml.permutation_importance(sql(s, d, "SELECT l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem"), "l_linestatus")
 
 
 @query(

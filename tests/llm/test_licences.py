@@ -55,3 +55,25 @@ def test_phrases_inside_longer_matches_are_found():
     own = licences.Scanner({"a b c z": "one", "c z": "two", "z": "three"}, {"long": "q x y c z a b c z", "other": "b x y z"})
     _, places, _ = own.scan(b"q x y c z b x y z a b c z")
     assert sorted((s, own.labels[t]) for s, t in places) == [(3, "two"), (4, "three"), (8, "three"), (9, "one"), (11, "two"), (12, "three")]
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(5)
+    own = licences.Scanner({"x y z": "x"}, {"long": " ".join(f"w{k}" for k in range(20))})
+    reach = 2 * own.sizes[1]
+
+    def longest(matches, last, total):
+        best = total
+        for s, p, n in matches:
+            if last is None:
+                best = max(best, longest(matches, (s, p, n), n))
+                continue
+            s0, p0, n0 = last
+            over = max(0, s0 + n0 - s, p0 + n0 - p)
+            if s0 < s <= s0 + reach and p0 < p and over < n:
+                best = max(best, longest(matches, (s, p, n), total + n - over))
+        return best
+
+    for _ in range(200):
+        matches = [(rng.randint(0, 60), rng.randint(0, 16), rng.randint(3, 6)) for _ in range(rng.randint(1, 7))]
+        assert own.covered(1, matches) == longest(matches, None, 0) / 20

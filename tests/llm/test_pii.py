@@ -104,3 +104,24 @@ def test_loose_spans_keep_off_base_spans():
                     plain_loose.append((kind, *m.span()))
                     end = m.end()
         assert loose == plain_loose
+
+
+def test_posteriors_equal_a_plain_loop():
+    rng = random.Random(9)
+    rows = [tuple(rng.randint(0, 2) for _ in range(4)) for _ in range(30)]
+    counts = [rng.randint(1, 50) for _ in rows]
+    belief = [1 / (1 + np.exp(-(sum(v == pii.YES for v in r) - sum(v == pii.NO for v in r)))) for r in rows]
+    for _ in range(50):
+        yes, no = sum(c * b for c, b in zip(counts, belief, strict=True)), sum(c * (1 - b) for c, b in zip(counts, belief, strict=True))
+        prior, new = (yes + 1) / (yes + no + 2), []
+        for r in rows:
+            a, b = prior, 1 - prior
+            for j, v in enumerate(r):
+                a *= (sum(c * p for c, p, q in zip(counts, belief, rows, strict=True) if q[j] == v) + 1) / (yes + 3)
+                b *= (sum(c * (1 - p) for c, p, q in zip(counts, belief, rows, strict=True) if q[j] == v) + 1) / (no + 3)
+            new.append(a / (a + b))
+        done = max(abs(x - y) for x, y in zip(new, belief, strict=True)) < 1e-9
+        if done:
+            break
+        belief = new
+    assert np.allclose(pii.estimate(np.array(rows), np.array(counts, float)), belief, atol=1e-8)

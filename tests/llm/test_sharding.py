@@ -56,3 +56,28 @@ def test_gapless_splits_equal_rows(spark, monkeypatch):
     assert numbers == {0: list(range(1995)), 1: list(range(5))}
     salts = rows.select(F.pmod(F.xxhash64("doc_id", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / 50)), F.lit(40)).alias("s"))
     assert max(r["count"] for r in salts.groupBy("s").count().collect()) < 600
+
+
+def plain_difference(items, ways):
+    """The same by scanning for the two widest partial partitions."""
+    live = {}
+    for k, sums in enumerate(items):
+        order = sorted(range(ways), key=lambda s: (sums[s], s))
+        live[k] = [(sums[s], {(k, s)}) for s in order]
+    count = len(items)
+    while len(live) > 1:
+        a, b = sorted(live, key=lambda k: (live[k][0][0] - live[k][-1][0], k))[:2]
+        low, high = live.pop(a), live.pop(b)[::-1]
+        live[count] = sorted(((x + y, p | q) for (x, p), (y, q) in zip(low, high, strict=True)), key=lambda r: r[0])
+        count += 1
+    (last,) = live.values()
+    return {member: place for place, (_, members) in enumerate(last) for member in members}
+
+
+def test_differencing_equals_a_plain_scan():
+    rng = random.Random(12)
+    for ways in (2, 3, 8):
+        for size in (1, 2, 7, 60):
+            items = [tuple(rng.randint(0, 40) for _ in range(ways)) if rng.random() < 0.3 else (0,) * (ways - 1) + (rng.randint(1, 400),) for _ in range(size)]
+            got, want = sharding.difference(items, ways), plain_difference(items, ways)
+            assert {(k, s): got[k][s] for k in range(size) for s in range(ways)} == want

@@ -72,3 +72,26 @@ def test_counts_above_a_short_are_whole():
     sums = np.bincount(out.column(1)[0].as_py(), out.column(2)[0].as_py(), 1 << toxicity.BUCKET_BITS)
     ids, counts = toxicity.features(body)
     assert counts.max() >= 40_000 and (sums[ids] == counts).all() and sums.sum() == counts.sum()
+
+
+def test_scores_equal_a_loop_over_grams():
+    rng = np.random.default_rng(6)
+    weight, pull = rng.random((2, 1 << toxicity.BUCKET_BITS)).astype(np.float32)
+    model = toxicity.Model(weight, pull, -0.3)
+    bodies = [b"A few Words, of text", "ünd 7x".encode(), b"", b"a", b"  x  ", b"one-two"]
+
+    def plain(body):
+        text = bytes(toxicity._BYTES[list(b" " + body + b" ")])
+        up = down = 0.0
+        for n in toxicity.GRAMS:
+            for at in range(len(text) - n + 1):
+                gram = text[at : at + n]
+                if 32 in gram[1:-1]:
+                    continue
+                mixed = sum(c * int(p) for c, p in zip(gram, toxicity._POWERS, strict=False)) & 0xFFFFFFFF
+                mixed ^= (mixed >> 15) ^ (n * 0x9E37)
+                bucket = (mixed * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - toxicity.BUCKET_BITS)
+                up, down = up + float(pull[bucket]), down + float(weight[bucket])
+        return 1 / (1 + np.exp(-(up / max(down, 1e-6) - 0.3)))
+
+    assert np.allclose(toxicity.scores(bodies, model), [plain(b) for b in bodies], atol=1e-6)

@@ -299,3 +299,18 @@ def test_bounded_parts(spark):
     assert charts.best_rows([{"a": 1}, {"a": 3}, {"a": None}], "a", 1) == [{"a": 3}]
     top = charts.bivariate_highlights(df, ["id", "signal"], ["segment"])
     assert top and all(0 <= t["strength"] <= 1 for t in top)
+
+
+def test_signals_choose_analyses(spark):
+    from tidewatch.operators import signals
+
+    df = spark.createDataFrame([(k, 1.0 * k, f"u{k}@mail.com", "ab"[k % 2], "2024-01-01") for k in range(40)], "id long, price double, contact string, gender string, created string")
+    r = roles.infer_roles(df)
+    s = signals.dataset_signals(profile.build_profile(df), r)
+    assert s["has_email_like_columns"] and s["email_like_columns"] == ["contact"] and s["sensitive_columns"] == ["gender"] and s["has_id_like_columns"]
+    quick, deep = signals.select_analyses(s, 40, mode="quick"), signals.select_analyses(s, 40, "gender", "deep")
+    assert set(quick["selected"]) < set(deep["selected"]) and {"privacy_analysis", "normality_tests", "target_analysis"} <= set(deep["selected"])
+    assert {"analysis": "baseline_model", "reason": "needs mode research"} in deep["skipped"]
+    values = {"url": ["www.python.org", "http://a.b"], "ip_address": ["2001:db8::1", "10.0.0.8"], "currency": ["INR 5000", "$19.99"], "boolean_token": ["off", "YES"]}
+    found = roles.semantic_types(spark.createDataFrame(list(zip(*values.values(), strict=True)), list(values)), list(values))
+    assert {n: t for n, (t, _) in found.items()} == {n: n for n in values}

@@ -14,17 +14,16 @@ from .facts import Facts
 #: Shapes of semantic types, portable between regular expression dialects.
 SEMANTIC = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
-    "url": r"^https?://[^\s/]+\S*$",
+    "url": r"^(https?://|www\.)[^\s/]+\S*$",
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    "ip_address": r"^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$",
+    "ip_address": r"^(((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])|[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{0,4}){2,7})$",
     "phone": r"^\+?[0-9][0-9 ().-]{6,18}[0-9]$",
     "percentage": r"^[+-]?[0-9]+(\.[0-9]+)?\s*%$",
-    "currency": r"^[$€£₹]\s*[0-9][0-9,]*(\.[0-9]+)?$",
+    "currency": r"^([$€£₹]|[A-Z]{3} )\s*[0-9][0-9,]*(\.[0-9]+)?$",
     "json": r"^\s*[{\[](?s:.*)[}\]]\s*$",
-    "boolean_token": r"^(?i)(true|false|yes|no|y|n|t|f|0|1)$",
+    "boolean_token": r"^(?i)(true|false|yes|no|on|off|y|n|t|f|0|1)$",
 }
 SEMANTIC_RATIO = 0.7
-SEMANTIC_ROLE = {"email": "contact_like", "phone": "contact_like", "url": "url_like", "uuid": "id_like", "ip_address": "network_like", "json": "json_like", "percentage": "percentage_like", "currency": "currency_like", "boolean_token": "boolean_like"}
 
 #: Name tokens of roles.
 NAME_TOKENS = {
@@ -115,8 +114,8 @@ def infer_roles(df: DataFrame, facts: Facts | None = None) -> dict[str, dict]:
             if not numeric and X.family(kind) == "string" and "id_like" not in roles:
                 roles.append("id_like")
         semantic, confidence = semantics.get(n, (None, 0.0))
-        if semantic and SEMANTIC_ROLE[semantic] not in roles:
-            roles.append(SEMANTIC_ROLE[semantic])
+        if semantic:
+            roles.append(f"{semantic}_like")
         mean_length, longest = lengths.get(n, (0, 0))
         if mean_length > 50 or longest > 200:
             roles.append("long_text")

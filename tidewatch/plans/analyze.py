@@ -25,7 +25,7 @@ def plan(df: DataFrame, config: Config | None = None) -> dict:
     p, r = profile.build_profile(head, facts=facts), roles.infer_roles(head, facts)
     s = signals.dataset_signals(p, r)
     budget = derive_budget(rows, len(df.columns), config.mode)
-    return {"analysis_mode": config.mode, "target": config.target, "shape": {"rows": rows, "columns": len(df.columns)}, "execution_budget": budget.limits, "scale": budget.scale, "signals": s, "selection": signals.select_analyses(s, rows, config.target), "planning_data": {"rows": min(rows, 5_000), "sampled": rows > 5_000}}
+    return {"analysis_mode": config.mode, "target": config.target, "shape": {"rows": rows, "columns": len(df.columns)}, "execution_budget": budget.limits, "scale": budget.scale, "signals": s, "selection": signals.select_analyses(s, rows, config.target, config.mode), "planning_data": {"rows": min(rows, 5_000), "sampled": rows > 5_000}}
 
 
 def _safe(part: Callable[[], object]) -> object:
@@ -59,7 +59,7 @@ def _analyze(df: DataFrame, config: Config | None, name: str) -> dict:
     p, r = out["profile"], out["column_roles"]
     out["roles_summary"] = roles.summarize_roles(r)
     out["dataset_signals"] = signals.dataset_signals(p, r)
-    out["analysis_selection"] = signals.select_analyses(out["dataset_signals"], p["shape"]["rows"], config.target)
+    out["analysis_selection"] = signals.select_analyses(out["dataset_signals"], p["shape"]["rows"], config.target, config.mode)
     step("health", lambda: scoring.health_score(df, p, facts))
     step("ml_readiness", lambda: scoring.readiness_from(p))
     step("quality_diagnostics", lambda: quality.run_quality(df, roles=r, facts=facts), "quality")

@@ -72,7 +72,7 @@ def features(body: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
-    """Embeddings and softmax fitted together by AdaGrad on (buckets, counts, label).
+    """Embeddings and softmax fitted together by AdaGrad on (buckets, counts, label); the list is emptied on the way.
 
     A text is the average of its subword vectors, weighted by count and inverse document frequency; buckets of fewer than
     MIN_DOCS texts take no part, so that chance subwords carry no weight. Classes weigh the same in sum up to a factor of 3.
@@ -94,7 +94,9 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) ->
     if share > 0.5:
         cost = np.where(labels == 0, min(3.0, share / max(1 - share, 1e-9)), 1.0).astype(np.float32)
     mixes = []
-    for ids, counts, _ in examples:
+    for k, (ids, counts, _) in enumerate(examples):
+        # what is no longer needed goes at once, as the driver's memory is small
+        examples[k] = ()
         ids = ids[weight[ids] > 0], counts[weight[ids] > 0]
         mix = weight[ids[0]] * ids[1]
         mixes.append((ids[0].astype(np.int32), (mix / max(mix.sum(), 1e-6)).astype(np.float32)))
@@ -215,7 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
             examples.append((ids[k].values.to_numpy(), counts[k].values.to_numpy(), y))
     del table
     examples.sort(key=lambda e: (e[2], len(e[0]), e[0].tobytes(), e[1].tobytes()))
-    return train(examples)
+    model = train(examples)
+    examples.clear()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,11 +28,14 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """df, written once as Parquet in the shared folder and read back.
 
     Executors that are lost later cost nothing but a re-read, and the files carry real sizes, so that Catalyst's
-    broadcast decisions rest on measured bytes. The folder goes when the driver's JVM ends.
+    broadcast decisions rest on measured bytes. The folder goes when the driver's JVM ends. Spark drops shuffle files,
+    broadcasts and compiled classes only when the driver's collector finds them unused, so it is asked to look after
+    each write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import takewhile
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Rows in a range of row numbers, the most ranges, and the rows drawn for a cut between them.
+RANGE_ROWS, RANGES, DRAWN = 100_000, 10_000, 100
 SEED = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -36,12 +41,56 @@ def even_positions(rows: int, target: int) -> list[int]:
     return sorted(set(np.linspace(0, rows - 1, min(rows, target), dtype=int).tolist())) if rows and target else []
 
 
+def _with_range(df: DataFrame, order: list[str], rows: int, out: str) -> DataFrame:
+    """df with the number of a row's range of about RANGE_ROWS rows in the given order: a function of its values alone.
+
+    Cuts come from a random draw and only set the sizes. They are literals over the leading columns of plain types, found
+    by binary search: of the first column as a double where that decides, else of all of these columns. Rows that agree
+    in all of them are in one range.
+    """
+    from .ranks import with_range
+
+    kinds = [(F.col(o), df.select(o).schema[0].dataType) for o in order]
+    leading = list(takewhile(lambda t: not isinstance(t[1], (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.UserDefinedType)), kinds))
+    parts = min(RANGES, -(-rows // RANGE_ROWS))
+    if parts <= 1 or not leading:
+        return df.withColumn(out, F.lit(0))
+    key = F.struct(*[c.alias(f"_{k}") for k, (c, _) in enumerate(leading)])
+    drawn = df.select(key.alias("_key")).sample(min(1.0, parts * DRAWN / rows), SEED & 0xFFFF).agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
+    places = F.sequence(F.lit(1), F.lit(parts - 1))
+    found = drawn.select(F.explode(F.transform(places, lambda k: F.get("_keys", F.floor(k * F.size("_keys") / parts).cast("int")))).alias("_key")).where("_key is not null").distinct()
+    # a value's text is read back as the value, or near it, and needs no Python type
+    text = lambda c, kind: c if isinstance(kind, T.BinaryType) else c.cast("string")
+    values = found.select(*[text(F.col(f"_key._{k}"), kind) for k, (_, kind) in enumerate(leading)]).collect()
+    if not values:
+        return df.withColumn(out, F.lit(0))
+    literals = [F.struct(*[F.lit(v).cast(kind).alias(f"_{k}") for k, (v, (_, kind)) in enumerate(zip(row, leading, strict=True))]) for row in values]
+    cuts = F.sort_array(F.array(*literals))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(values).bit_length()))])
+    search = F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= len(values)) & (F.get(cuts, lo + step - 1) <= key), lo + step).otherwise(lo))
+    first, kind = leading[0]
+    if not isinstance(kind, (T.NumericType, T.TimestampType)):
+        return df.withColumn(out, search)
+
+    # as a double the first column keeps its order, though not all differences: rows equal to a cut's are searched in full
+    finite = lambda x: x.isNotNull() & (F.abs(x) < float("inf"))
+    firsts = df.sparkSession.range(1).select(F.transform(cuts, lambda c: c["_0"].cast("double")).alias("f")).first()["f"]
+    least = sum(x is None or x == float("-inf") for x in firsts)
+    marks = sorted({x + 0.0 for x in firsts if x is not None and abs(x) < float("inf")})
+    upto = F.array(*[F.lit(least + sum(x is not None and float("-inf") < x <= m for x in firsts)) for m in [float("-inf"), *marks]])
+    x = first.cast("double")
+    held = with_range(df.withColumn("_lead", F.when(finite(x) & (x != 0), x).otherwise(0.0)), "_lead", marks, "_slot")
+    equal = F.coalesce(F.get(F.array(*[F.lit(m) for m in marks]), F.col("_slot") - 1) == F.col("_lead"), F.lit(False)) if marks else F.lit(False)
+    return held.withColumn(out, F.when(finite(x) & ~equal, F.get(upto, F.col("_slot"))).otherwise(search)).drop("_lead", "_slot")
+
+
 def with_row_number(df: DataFrame, order: list[str], out: str = "row_number") -> DataFrame:
     """Zero-based positions in the order of the given columns, without a global window.
 
-    Rows are range-partitioned, numbered inside each partition, and shifted by the sizes of the partitions before it.
+    Rows are dealt to ranges, numbered inside each range, and shifted by the sizes of the ranges before it. A row's range
+    follows from its values and fixed cuts, so sizes and numbers, which are found by two scans, rest on the same ranges.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = _with_range(df, order, df.count(), "_part")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     counts = [(r["_part"], r["count"]) for r in ranged.groupBy("_part").count().orderBy("_part").collect()]
     shifts, total = [], 0

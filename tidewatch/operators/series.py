@@ -229,8 +229,9 @@ def window_means(df: DataFrame, order: list[str], value: str, windows: int = 24)
     """(tile, n, mean) of contiguous windows of equal size in the given order, by position arithmetic instead of a global tile window."""
     from .sampling import with_row_number
 
-    rows = with_row_number(df.select(*order, X.finite(df, value).alias("_y")).where("_y is not null"), order)
-    n = rows.agg(F.count(F.lit(1)).alias("total"))
+    kept = df.select(*order, X.finite(df, value).alias("_y")).where("_y is not null")
+    rows = with_row_number(kept, order)
+    n = kept.agg(F.count(F.lit(1)).alias("total"))
     i, total = F.col("row_number"), F.col("total")
     size, extra = F.floor(total / windows), total % windows
     tile = F.when(i < extra * (size + 1), F.floor(i / (size + 1))).otherwise(extra + F.floor((i - extra * (size + 1)) / F.greatest(size, F.lit(1))))

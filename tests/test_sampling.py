@@ -30,6 +30,10 @@ def test_window_means_of_larger_tables(spark, larger):
     assert larger_difference(spark, "chg02_window_means", larger) == ""
 
 
+def test_page_hinkley_of_larger_tables(spark, larger):
+    assert larger_difference(spark, "chg01_page_hinkley", larger) == ""
+
+
 def test_row_numbers_do_not_depend_on_ranges(spark, monkeypatch):
     rng = random.Random(3)
     texts, start = [None, "", "a", "b", "Zoë"], datetime(2024, 10, 27)

@@ -34,6 +34,17 @@ def test_page_hinkley_of_larger_tables(spark, larger):
     assert larger_difference(spark, "chg01_page_hinkley", larger) == ""
 
 
+def test_even_sample_of_larger_tables(spark, larger):
+    assert larger_difference(spark, "smp04_even_sample", larger) == ""
+
+
+def test_even_positions_are_whole_quotients():
+    for rows in range(300):
+        for target in (0, 1, 2, 7, 100):
+            n = min(rows, target)
+            assert sampling.even_positions(rows, target) == ([0] if n == 1 else [k * (rows - 1) // (n - 1) for k in range(n)])
+
+
 def test_row_numbers_do_not_depend_on_ranges(spark, monkeypatch):
     rng = random.Random(3)
     texts, start = [None, "", "a", "b", "Zoë"], datetime(2024, 10, 27)

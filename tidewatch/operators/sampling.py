@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import takewhile
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +37,9 @@ def stratified_positions(rows: int, target: int, seed: int = SEED) -> list[int]:
 
 
 def even_positions(rows: int, target: int) -> list[int]:
-    return sorted(set(np.linspace(0, rows - 1, min(rows, target), dtype=int).tolist())) if rows and target else []
+    """min(rows, target) row numbers from the first to the last row at equal steps, rounded down in whole numbers."""
+    n = min(rows, target)
+    return [k * (rows - 1) // max(1, n - 1) for k in range(n)]
 
 
 def _with_range(df: DataFrame, order: list[str], rows: int, out: str) -> DataFrame:

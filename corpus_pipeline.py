@@ -17,6 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by five-word shingle similarity of 0.8 or more.
 
+    Candidates come from op3's SimHash links, and from MinHash bands where its radius ends; exact similarity confirms them.
     Rows of one id stay or go together, rows without one stay.
     """
     linked = shingles.near_duplicates(docs)

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from tidewatch.llm import shingles
+from tidewatch.llm import shingles, simhash
 
 
 def plain_shingles(text):
@@ -48,3 +48,20 @@ def test_stage_equals_brute_force(spark, monkeypatch, block):
     found = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert found == plain_kept(rows)
     assert shingles.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_alone_find_candidates(spark, monkeypatch):
+    """Without any band, the copies within the radius are linked, and those only."""
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(12)]
+    rows = [(k, b) for k, b in enumerate(base)] + [(100 + k, f"{b} tail") for k, b in enumerate(base)]
+    rows += [(200, None), (201, ""), (202, "one"), (None, base[4] + " tail")]
+    prints = [simhash.fingerprint(t.encode(), 5) for _, t in rows[:24]]
+    near = {k for k in range(12) if (prints[k] ^ prints[12 + k]).bit_count() <= 3}
+    assert len(near) >= 6
+    kept = shingles.cut
+    monkeypatch.setattr(shingles, "cut", lambda df, name: kept(df.limit(0) if name == "bands" else df, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert {k for k in range(12) if found[100 + k] == k} == near
+    assert found[200] == found[201] == 200 and found[202] == 202

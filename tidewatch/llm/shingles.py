@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact similarity of word-shingle sets, found through MinHash bands."""
+"""Near-duplicates by the exact similarity of word-shingle sets, found by SimHash and, beyond its radius, MinHash bands."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import cut
-from .simhash import _Sets
+from .simhash import _Sets, fingerprint, near_links
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Sets whose SimHash fingerprints differ in so many bits or fewer are candidates.
+RADIUS = 3
 #: Sets of similarity s share one of BANDS bands of ROWS minima with probability 1 - (1 - s**ROWS)**BANDS: at 0.8 all but 5 in a million.
 BANDS, ROWS = 40, 6
 #: Candidates are compared in pairs of blocks of about so many sets.
@@ -56,13 +58,15 @@ def _node(shingles: np.ndarray) -> int:
 
 def _band_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, bands = [], []
+        nodes, fps, bands = [], [], []
         for body in batch.column(1):
-            own = shingle_set(body.as_py(), width)
+            text = body.as_py()
+            own = shingle_set(text, width)
             nodes.append(_node(own))
+            fps.append(fingerprint(text, width))
             bands.append(band_keys(own))
-        columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "bands"])
+        columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.uint64()).view(pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "bands"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -100,6 +104,16 @@ def _compare(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"u": pa.array([nodes[k] for k in members], pa.int64()), "v": pa.array([nodes[found.root(k)] for k in members], pa.int64())})
 
 
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (u, v) of nodes of prints (node, fp, bands) that connect all whose fingerprints are within radius."""
+    marks = cut(prints.where(F.size("bands") > 0).select("node", "fp").distinct(), "marks")
+    first = cut(marks.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    near = cut(near_links(first.select("fp"), radius), "near")
+    inside = marks.join(first, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    across = near.join(first.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+    return inside.unionByName(across.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """(doc_id, component_id) of every row of docs (doc_id, text, ...).
 
@@ -107,15 +121,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     of their sets of `width`-word shingles is at least `similarity`; wordless and null texts equal each other.
     component_id is the smallest doc_id reachable over links; rows without an id get a row and do not name a component.
 
-    Sets that share a MinHash band are candidates. Stars over bands join candidates to groups, whose sets are then
-    compared exactly, all with all, in pairs of blocks; equal sets are one node throughout.
+    Sets are candidates if op3's method links them, that is if the SimHash fingerprints of their texts differ in RADIUS
+    bits or fewer, or if they share a MinHash band, which finds the similar sets that lie beyond that radius. Stars over
+    fingerprints and bands join candidates to groups, whose sets are then compared exactly, all with all, in pairs of
+    blocks; equal sets are one node throughout, wordless ones need no comparison.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("body"))
-    prints = cut(texts.mapInArrow(partial(_band_batches, width=width), f"doc_id {kind}, node long, bands array<long>"), "prints")
+    prints = cut(texts.mapInArrow(partial(_band_batches, width=width), f"doc_id {kind}, node long, fp long, bands array<long>"), "prints")
     rows = cut(prints.select(F.explode("bands").alias("key"), "node").distinct(), "bands")
     heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
-    groups = cut(connected_components(rows.join(heads, "key").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))), "groups")
+    shared = rows.join(heads, "key").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    groups = cut(connected_components(shared.unionByName(fingerprint_links(prints))), "groups")
 
     # one text of each node that has candidates; texts without an id may be the only ones of their node
     nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")

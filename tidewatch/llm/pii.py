@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import trimmed
+
 KINDS = ("email", "ip", "card", "phone")
 ABSTAIN, YES, NO = 0, 1, 2
 LABELERS = ("regex", "gazetteer", "context", "border")
@@ -208,6 +210,7 @@ def fit(table: list[tuple[str, tuple[int, ...], int]], rounds: int = 400) -> Mod
     return Model(weights, float(bias))
 
 
+@trimmed
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
@@ -221,6 +224,7 @@ def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+@trimmed
 def _span_batches(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {k: [] for k in KINDS}
@@ -305,6 +309,7 @@ def mask_text(text: str | None, model: Model | None) -> str | None:
     return "".join(out) + text[at:]
 
 
+@trimmed
 def _mask_batches(batches: Iterator[pa.RecordBatch], model: Model | None, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         masked = pa.array([mask_text(t, model) for t in batch.column(at).to_pylist()], pa.string())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import cut
+from .scratch import cut, trimmed
 from .simhash import _Sets, fingerprint, near_links
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -56,6 +56,7 @@ def _node(shingles: np.ndarray) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+@trimmed
 def _band_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, fps, bands = [], [], []
@@ -69,6 +70,7 @@ def _band_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "bands"])
 
 
+@trimmed
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import cut
+from .scratch import cut, trimmed
 
 BITS = 64
 CHUNK = 1 << 16
@@ -41,6 +41,7 @@ def fingerprint(body: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+@trimmed
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(x.as_py(), width, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
@@ -185,6 +186,7 @@ def _near_in_groups(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[li
     return [sets.root(k) for k in members], members
 
 
+@trimmed
 def _bucket_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links inside buckets of (mask, val, fp) rows sorted by mask and val; a bucket may span batches."""
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import release, trimmed
+
 GRAMS = (3, 4, 5, 6)
 BUCKET_BITS, DIM = 17, 4
 #: Labelled rows of each class that are fitted at most; all rows are scored.
@@ -160,6 +162,7 @@ def _in_bytes(buckets: np.ndarray, counts: np.ndarray, most: int = 127) -> tuple
     return np.repeat(buckets, times), out
 
 
+@trimmed
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [_in_bytes(*features(x.as_py())) for x in batch.column(1)]
@@ -173,6 +176,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+@trimmed
 def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
@@ -219,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     examples.sort(key=lambda e: (e[2], len(e[0]), e[0].tobytes(), e[1].tobytes()))
     model = train(examples)
     examples.clear()
-    pa.default_memory_pool().release_unused()
+    release(docs.sparkSession)
     return model
 
 
